@@ -1,9 +1,13 @@
 """The registered queries of this folder and, where SQL can say it, their oracles."""
 
+from kgloom.llm.decontaminate import op5_benchmark_decontamination
+from kgloom.llm.packing import op7_best_fit_packing
 from kgloom.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
