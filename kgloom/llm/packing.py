@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import normalize
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,60 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class WordCoder:
+    """Ids of words that hold no ASCII white space, exactly as the tokenizer gives them.
+
+    A word of letters with dots and commas behind it is what most words are: its letters and its marks
+    are separate words to the tokenizer's splitter, so the letters are looked up in lower case, and new
+    ones go to the same merge table without normaliser and splitter. Any other word takes the whole tokenizer.
+    """
+
+    def __init__(self, spec: str, most: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.bare, self.most = Tokenizer.from_str(spec), Tokenizer.from_str(spec), most
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = {i for t, i in self.bare.get_vocab().items() if t.endswith("</w>")}
+        shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = shown | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.cores: dict[str, tuple[int, ...]] = {}
+        self.marks: dict[str, tuple[int, ...]] = {"": ()}
+
+    def _learn(self, cores: list[str]) -> None:
+        if len(self.cores) > self.most:
+            self.cores = {}
+        for i in range(0, len(cores), 6400):
+            part = cores[i : i + 6400]
+            lines = [" ".join(c.encode().decode("latin-1").translate(self.shown) for c in part[j : j + 64]) for j in range(0, len(part), 64)]
+            held, done = [], iter(part)
+            for line in self.bare.encode_batch_fast(lines, add_special_tokens=False):
+                for t in line.ids:
+                    held.append(t)
+                    if t in self.ends:
+                        self.cores[next(done)] = tuple(held)
+                        held = []
+
+    def __call__(self, words: list[str]):
+        """Number of ids of each word, and all ids in a row."""
+        import numpy as np
+
+        cut: list[tuple[str, str] | None] = []
+        for w in words:
+            c = w.rstrip(".,")
+            low = c.lower()
+            cut.append((low, w[len(c) :]) if low.isalpha() and "Σ" not in c and low.isascii() | (normalize("NFC", c) == c) else None)
+        self._learn(list({x[0] for x in cut if x and x[0] not in self.cores}))
+        odd = [w for w, x in zip(words, cut, strict=True) if x is None]
+        rest = iter(self.whole.encode_batch_fast(odd, add_special_tokens=False)) if odd else iter(())
+        for m in {x[1] for x in cut if x} - self.marks.keys():
+            self.marks[m] = tuple(self.whole.encode(m, add_special_tokens=False).ids)
+        ids = [self.cores[x[0]] + self.marks[x[1]] if x else tuple(next(rest).ids) for x in cut]
+        return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), "<u4")
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, cached_words: int = 1 << 20) -> DataFrame:
     """Pieces of at most ``size`` ids; ``ids``: little-endian unsigned 32-bit numbers.
 
@@ -29,41 +86,42 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     path = tokenizer if os.path.exists(tokenizer) else public_tokenizers.path(tokenizer)
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    end = end_id.to_bytes(4, "little")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer
 
-        made = Tokenizer.from_str(spec.value)
-        known: dict[bytes, bytes] = {}
-        end = np.array([end_id], "<u4").tobytes()
+        coder = WordCoder(spec.value, cached_words)
         for part, texts in batches(parts):
-            if len(known) > cached_words:
-                known = {}
-            words = [(t or b"").split() for t in texts]
-            new = list({w for x in words for w in x if w not in known})
-            for i in range(0, len(new), 10_000):
-                for w, e in zip(new[i : i + 10_000], made.encode_batch([w.decode() for w in new[i : i + 10_000]], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+            lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).cast(pa.string()))
+            coded = lists.flatten().dictionary_encode()
+            size_of, ids_of = coder(coded.dictionary.to_pylist())
+            # a document's ids are those of its words, one after another, then the end id
+            word = coded.indices.to_numpy()
+            first = np.concatenate(([0], np.cumsum(size_of)))[word]
+            n = size_of[word]
+            at = np.concatenate(([0], np.cumsum(n)))
+            ids = ids_of[np.repeat(first - at[:-1], n) + np.arange(at[-1])]
+            bounds = at[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
             out = []
-            for doc, x in zip(part.column("doc_id").to_pylist(), words, strict=True):
-                ids = b"".join([known[w] for w in x]) + end
-                out += [(doc, k, k * size, ids[j : j + 4 * size]) for k, j in enumerate(range(0, len(ids), 4 * size))]
-            doc, piece, start, ids = zip(*out, strict=True)
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                raw = ids[a:b].tobytes() + end
+                out += [(doc, k, k * size, raw[j : j + 4 * size]) for k, j in enumerate(range(0, len(raw), 4 * size))]
+            doc, piece, start, raw = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
 
     return doc_text(docs).mapInArrow(run, PIECES)
 
 
-def sum_of_squares(lengths: list[int], size: int) -> list[tuple[int, int]]:
+def sum_of_squares(lengths: list[int], size: int, frugal: bool = True) -> list[tuple[int, int]]:
     """Bin and offset of each length, in the order given.
 
     An item goes where the sum of squared counts of open bins per residual gap becomes smallest; among
-    equals, to the smallest gap, and to a new bin last.
+    equals, to the smallest gap. ``frugal``: a bin is opened only for what fits in no open one, as suits
+    lengths that are all known beforehand; else a new bin competes like the rest, and loses ties.
     """
     import numpy as np
 
@@ -78,7 +136,7 @@ def sum_of_squares(lengths: list[int], size: int) -> list[tuple[int, int]]:
         cost[size - s] = far  # that gap is a new bin's
         g = s + int(cost.argmin())
         new = 2 * count[size - s] + 1 if s < size else 0
-        if cost[g - s] <= new and cost[g - s] != far:
+        if cost[g - s] != far and (frugal or cost[g - s] <= new):
             b = bins[g].pop()
             count[g] -= 1
         else:
