@@ -3,10 +3,12 @@
 from kgloom.llm.decontaminate import op5_benchmark_decontamination
 from kgloom.llm.packing import op7_best_fit_packing
 from kgloom.llm.quality_rules import op1_quality_rules
+from kgloom.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
