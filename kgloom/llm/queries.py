@@ -1,14 +1,20 @@
 """The registered queries of this folder and, where SQL can say it, their oracles."""
 
 from kgloom.llm.decontaminate import op5_benchmark_decontamination
+from kgloom.llm.language_id import op10_language_id
 from kgloom.llm.packing import op7_best_fit_packing
 from kgloom.llm.quality_rules import op1_quality_rules
+from kgloom.llm.secrets import op2_secret_scans
 from kgloom.llm.simhash import op6_simhash_near_dedup
+from kgloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scans": op2_secret_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
