@@ -2,6 +2,7 @@
 
 from kgloom.llm.decontaminate import op5_benchmark_decontamination
 from kgloom.llm.language_id import op10_language_id
+from kgloom.llm.licenses import op9_license_scans
 from kgloom.llm.packing import op7_best_fit_packing
 from kgloom.llm.quality_rules import op1_quality_rules
 from kgloom.llm.secrets import op2_secret_scans
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_license_scans": op9_license_scans,
     "op10_language_id": op10_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
