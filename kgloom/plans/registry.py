@@ -1,8 +1,6 @@
 """Every query on the given tables, with its SQL."""
 
-from collections.abc import Callable
+from kgloom.plans import core
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**core.QUERIES}
+ORACLE_SQL = {**core.ORACLE_SQL}
