@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
 from kgloom.functions import vocab
+from kgloom.operators.components import written
 
 KEY = ["project_id", "source_type", "source_node", "relationship", "destination_type", "destination_node"]
 COLUMNS = ["project_id", "document_id", "seq", *KEY[1:], "description", "keywords"]
@@ -180,14 +181,14 @@ def suppliers(t: DataFrame) -> DataFrame:
     A component's applicants are the owners of the products (or products of the models) that contain it;
     supplier edges without one go to all applicants of the project, manufacturer edges to none.
     """
-    x = _typed(t)
-    app = applicants(t).select("project_id", F.col("key").alias("app"), F.col("name").alias("app_name"))
+    x = written(_typed(t))  # read by ten joins below
+    app = written(applicants(t)).select("project_id", F.col("key").alias("app"), F.col("name").alias("app_name"))
     owner = x.where("rel = 'has_product' and st in ('applicant', 'company') and dt = 'product'").select("project_id", F.col("dk").alias("product"), F.col("sk").alias("app")).distinct().join(app, ["project_id", "app"])
     model = x.where("rel = 'has_model' and st = 'product' and dt = 'model'").select("project_id", F.col("sk").alias("product"), F.col("dk").alias("parent")).distinct()
     within = x.where("rel = 'contains' and dt = 'component' and st in ('product', 'model')").select("project_id", "st", F.col("sk").alias("parent"), F.col("dk").alias("component")).distinct()
     direct = within.where("st = 'product'").select("project_id", F.col("parent").alias("product"), "component")
     by_model = within.where("st = 'model'").join(model, ["project_id", "parent"]).select("project_id", "product", "component")
-    of_component = direct.union(by_model).distinct().join(owner, ["project_id", "product"]).select("project_id", "component", "app", "app_name").distinct()
+    of_component = written(direct.union(by_model).distinct().join(owner, ["project_id", "product"]).select("project_id", "component", "app", "app_name").distinct())
 
     s, d = N.text(F.col("source_node")), N.text(F.col("destination_node"))
     e = x.where("rel in ('party_role_supplier', 'party_role_manufacturer')").withColumns({"st": end_type(s, F.col("source_type")), "dt": end_type(d, F.col("destination_type")), "s": s, "d": d, "made": F.col("rel") == "party_role_manufacturer"})
@@ -218,8 +219,8 @@ def suppliers(t: DataFrame) -> DataFrame:
 
 def enforce(t: DataFrame) -> DataFrame:
     """The rules in their order: ownership, suppliers, certifications, canonical form, duplicates, root links."""
-    owned = refine_ownership(t)
-    supplied = owned.where(relation_of(F.col("relationship")) != "party_role_supplier").select(COLUMNS).unionByName(suppliers(owned))
-    linked = supplied.unionByName(link_certifications(supplied))
-    one = dedupe(canonicalize(linked).select(COLUMNS))
+    owned = written(refine_ownership(t))
+    supplied = written(owned.where(relation_of(F.col("relationship")) != "party_role_supplier").select(COLUMNS).unionByName(suppliers(owned)))
+    linked = written(supplied.unionByName(link_certifications(supplied)))
+    one = written(dedupe(canonicalize(linked).select(COLUMNS)))
     return one.unionByName(root_links(one).select(COLUMNS))

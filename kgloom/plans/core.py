@@ -7,6 +7,7 @@ from kgloom.functions import names as N
 from kgloom.functions import vocab
 from kgloom.operators import canonical, chunks, graph
 from kgloom.operators import triplets as T
+from kgloom.operators.components import written
 from kgloom.plans import sqltext as S
 from kgloom.sources import adapters
 from kgloom.sources.adapters import fixture
@@ -29,7 +30,8 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canon(spark: SparkSession, d: str) -> DataFrame:
-    return T.canonicalize(raw(spark, d))
+    """As a table: the name rules are long expressions, and what follows reads them more than once."""
+    return written(T.canonicalize(raw(spark, d)))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +40,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def node_edge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = canon(spark, d)
-    return canonical.nodes(c), canonical.edges(c)
+    return written(canonical.nodes(c)), written(canonical.edges(c))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -177,8 +179,8 @@ of_component as (select distinct project_id, component, app, app_name from paren
 e as (select project_id, seq, rel = 'party_role_manufacturer' as made, trim(source_node) as s, trim(destination_node) as d, sk, dk, keywords, case when {S.root('source_node')} then 'ul' else st end as st, case when {S.root('destination_node')} then 'ul' else dt end as dt from t where rel in ('party_role_supplier', 'party_role_manufacturer')),
 parts as (select project_id, seq, made, case when st = 'component' then d else s end as supplier, case when st = 'component' then sk else dk end as component from e where (st = 'component' and dt = 'company') or (dt = 'component' and st = 'company')),
 rows_ as (select p.project_id, seq, made, supplier, app, app_name from parts p join of_component using (project_id, component) union all
-  select p.project_id, seq, made, supplier, a.key, a.name from parts p join applicants a using (project_id) where not made and not exists (select 1 from of_component o where o.project_id = p.project_id and o.component = p.component))
-select project_id, supplier_key, app, arg_min(supplier, case when made then 1 else 0 end * 1000000000000 + seq) as supplier from (select *, {S.key('supplier')} as supplier_key from rows_) where supplier_key <> app group by 1, 2, 3""".replace("arg_min(supplier, ", "arg_min(supplier, ").replace("r.seq", "seq"))
+  select p.project_id, p.seq, made, supplier, a.key, a.name from parts p join applicants a on a.project_id = p.project_id where not made and not exists (select 1 from of_component o where o.project_id = p.project_id and o.component = p.component))
+select project_id, supplier_key, app, arg_min(supplier, case when made then 1 else 0 end * 1000000000000 + seq) as supplier from (select *, {S.key('supplier')} as supplier_key from rows_) where supplier_key <> app group by 1, 2, 3""")
 def tri_supplier_rewrite(spark, d):
     x = T.suppliers(raw(spark, d))
     return x.select("project_id", N.norm_key(F.col("source_node")).alias("supplier_key"), N.norm_key(F.col("destination_node")).alias("app"), F.col("source_node").alias("supplier"))
@@ -205,7 +207,7 @@ def tri_desc_map(spark, d):
 
 
 # the canonical graph
-@query(f"with {S.NODES} select entity_type, canonical_id, name, normalized_name, array_to_string(aliases, ';') as aliases, description, mentions from nodes")
+@query(f"with {S.NODES} select entity_type, canonical_id, name, normalized_name, coalesce(array_to_string(aliases, ';'), '') as aliases, description, mentions from nodes")
 def kg_merge_nodes(spark, d):
     return canonical.nodes(canon(spark, d)).withColumn("aliases", F.array_join("aliases", ";"))
 
