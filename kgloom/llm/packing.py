@@ -76,7 +76,7 @@ class WordCoder:
         return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), "<u4")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, cached_words: int = 1 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, cached_words: int = 1 << 18) -> DataFrame:
     """Pieces of at most ``size`` ids; ``ids``: little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins over it, so words are encoded once and looked up after.
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
         import numpy as np
 
         coder = WordCoder(spec.value, cached_words)
-        for part, texts in batches(parts):
+        for part, texts in batches(parts, 4 << 20):
             lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).cast(pa.string()))
             coded = lists.flatten().dictionary_encode()
             size_of, ids_of = coder(coded.dictionary.to_pylist())

@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
         import numpy as np
         from xxhash import xxh64_intdigest as digest
 
-        for part, texts in batches(parts):
+        for part, texts in batches(parts, 4 << 20):
             values: list[int] = []
             sizes = []
             for t in texts:
