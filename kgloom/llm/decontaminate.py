@@ -37,6 +37,8 @@ def window_table(rows: list[tuple[str, str]], window: int) -> dict[bytes, list[s
 def _automaton(windows: dict[bytes, list[str]]):
     import ahocorasick
 
+    if not windows:
+        return None
     made = ahocorasick.Automaton()
     for k, items in windows.items():
         made.add_word(f" {k.decode('latin-1')} ", (len(k) + 2, k.count(b" ") + 1, items))
@@ -58,7 +60,7 @@ def scanner(shards: list):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        built = [_automaton(s.value) if s.value else None for s in shards] if len(shards) == 1 else None
+        built = [_automaton(s.value) for s in shards] if len(shards) == 1 else None
         for part, texts in batches(parts):
             words = [(t or b"").translate(TABLE).split() for t in texts]
             hits: dict[int, list] = {}
