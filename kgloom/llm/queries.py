@@ -5,6 +5,7 @@ from kgloom.llm.language_id import op10_language_id
 from kgloom.llm.licenses import op9_license_scans
 from kgloom.llm.line_dedup import op4_line_dedup
 from kgloom.llm.lm_scoring import op3_lm_scoring
+from kgloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from kgloom.llm.packing import op7_best_fit_packing
 from kgloom.llm.quality_rules import op1_quality_rules
 from kgloom.llm.secrets import op2_secret_scans
@@ -24,4 +25,3 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
