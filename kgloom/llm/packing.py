@@ -32,51 +32,53 @@ class WordCoder:
 
     def __init__(self, spec: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.bare, self.most = Tokenizer.from_str(spec), Tokenizer.from_str(spec), most
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.ends = {i for t, i in self.bare.get_vocab().items() if t.endswith("</w>")}
+        vocabulary = self.bare.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         shown = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
         hidden = [b for b in range(256) if b not in shown]
         self.shown = shown | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.marks: dict[str, tuple[int, ...]] = {"": ()}
+        self.cores: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _learn(self, cores: list[str]) -> None:
-        if len(self.cores) > self.most:
-            self.cores = {}
+        import numpy as np
+
         for i in range(0, len(cores), 6400):
             part = cores[i : i + 6400]
             lines = [" ".join(c.encode().decode("latin-1").translate(self.shown) for c in part[j : j + 64]) for j in range(0, len(part), 64)]
-            held, done = [], iter(part)
-            for line in self.bare.encode_batch_fast(lines, add_special_tokens=False):
-                for t in line.ids:
-                    held.append(t)
-                    if t in self.ends:
-                        self.cores[next(done)] = tuple(held)
-                        held = []
+            ids = np.fromiter(chain.from_iterable(x.ids for x in self.bare.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+            raw, bounds = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            self.cores.update(zip(part, (raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)), strict=True))
 
     def __call__(self, words: list[str]):
         """Number of ids of each word, and all ids in a row."""
         import numpy as np
 
+        if len(self.cores) > self.most:
+            self.cores = {}
         cut: list[tuple[str, str] | None] = []
         for w in words:
             c = w.rstrip(".,")
             low = c.lower()
-            cut.append((low, w[len(c) :]) if low.isalpha() and "Σ" not in c and low.isascii() | (normalize("NFC", c) == c) else None)
+            cut.append((low, w[len(c) :]) if low.isalpha() and "Σ" not in c and (low.isascii() or normalize("NFC", c) == c) else None)
         self._learn(list({x[0] for x in cut if x and x[0] not in self.cores}))
+        plain = lambda ws: [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(ws, add_special_tokens=False)]
         odd = [w for w, x in zip(words, cut, strict=True) if x is None]
-        rest = iter(self.whole.encode_batch_fast(odd, add_special_tokens=False)) if odd else iter(())
-        for m in {x[1] for x in cut if x} - self.marks.keys():
-            self.marks[m] = tuple(self.whole.encode(m, add_special_tokens=False).ids)
-        ids = [self.cores[x[0]] + self.marks[x[1]] if x else tuple(next(rest).ids) for x in cut]
-        return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), "<u4")
+        rest = iter(plain(odd)) if odd else iter(())
+        marks = sorted({x[1] for x in cut if x} - self.marks.keys())
+        self.marks.update(zip(marks, plain(marks) if marks else [], strict=True))
+        ids = [self.cores[x[0]] + self.marks[x[1]] if x else next(rest) for x in cut]
+        return np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, cached_words: int = 1 << 18) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, cached_words: int = 1 << 19) -> DataFrame:
     """Pieces of at most ``size`` ids; ``ids``: little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins over it, so words are encoded once and looked up after.
@@ -92,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
         import numpy as np
 
         coder = WordCoder(spec.value, cached_words)
-        for part, texts in batches(parts, 4 << 20):
+        for part, texts in batches(parts):
             lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).cast(pa.string()))
             coded = lists.flatten().dictionary_encode()
             size_of, ids_of = coder(coded.dictionary.to_pylist())
