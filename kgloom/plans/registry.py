@@ -1,6 +1,6 @@
 """Every query on the given tables, with its SQL."""
 
-from kgloom.plans import core
+from kgloom.plans import core, more
 
-QUERIES = {**core.QUERIES}
-ORACLE_SQL = {**core.ORACLE_SQL}
+QUERIES = {**core.QUERIES, **more.QUERIES}
+ORACLE_SQL = {**core.ORACLE_SQL, **more.ORACLE_SQL}
