@@ -44,17 +44,12 @@ def ingest(spark: SparkSession, files: str, schema, out: str, checkpoint: str, f
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(files)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = (query.lastProgress or {}).get("batchId")
-    if last is None:  # nothing new: the newest version is that of the last batch committed before
-        last = max(int(p.path.rsplit("/v", 1)[1]) for p in _versions(spark, out))
-    return spark.read.parquet(f"{out}/v{last}")
+    return spark.read.parquet(f"{out}/v{newest(spark, out)}")
 
 
-def _versions(spark: SparkSession, out: str):
-    class Found:
-        def __init__(self, path: str):
-            self.path = path
-
+def newest(spark: SparkSession, out: str) -> int:
+    """Number of the newest version that is wholly written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return [Found(str(s.getPath().toString())) for s in status]
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(path)]
+    return max(int(p.getName()[1:]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
