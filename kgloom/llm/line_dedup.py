@@ -1,10 +1,10 @@
 """Line de-duplication over the whole corpus by a deletion-neighbourhood join.
 
-Lines of at least ``MIN_WORDS`` words (white space and the case of A-Z don't count) are compared; shorter ones
-stay. A line goes if an earlier one, by document id and then line number, is equal or differs by one
-inserted, deleted or replaced word.
+All lines but blank ones are compared; white space and the case of A-Z don't count. A line goes if an earlier one, by
+document id and then line number, is equal or, where both have at least ``MIN_WORDS`` words, differs by one
+inserted, deleted or replaced word. Shorter lines go only if equal, as one word is much of what they say.
 
-Two such lines share their first or their last words up to the edit, so only lines with a partner for
+Two lines that differ by one word share their first or their last words up to the edit, so only lines with a partner for
 one of these two hashes emit variants: themselves, and themselves without one word, at the places
 the shared hash leaves open. Lines that miss the same word at the same place, or of which one is the other
 without a word, meet under one hashed key; each key is reduced to its earliest members, so no pairs are
@@ -66,7 +66,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             for doc, t in zip(part.column("doc_id").to_pylist(), texts, strict=True):
                 for i, x in enumerate((t or b"").lower().split(b"\n")):
                     words = x.split()
-                    if len(words) >= MIN_WORDS:
+                    if words:  # below MIN_WORDS there are no half keys, so such a line meets only its equals
                         out.append((doc, i, *_line_hash(b" ".join(words)), [{"key": k, "part": c} for k, c in half_keys(words)]))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(

@@ -3,7 +3,7 @@
 import pytest
 from test_operators import TEXTS, plain_ppm
 
-from kgloom.llm import lm_scoring
+from kgloom.llm import line_dedup, lm_scoring
 
 
 def test_lm_scores_keep_rare_strings(spark, monkeypatch):
@@ -18,3 +18,14 @@ def test_lm_scores_keep_rare_strings(spark, monkeypatch):
     for r in rows:
         if r.doc_id != 6:
             assert r.score == pytest.approx(plain_ppm(texts, TEXTS[r.doc_id]), rel=1e-4, abs=1e-3)
+
+
+def test_line_dedup_compares_short_lines(spark):
+    seven, eight = "one two three four five six seven", "one two three four five six seven eight"
+    texts = {1: f"Home\n\n{seven}\nHome", 2: f"home \n \n{seven} x\n{eight}", 3: f"contact\nhome page\n{seven.replace('two', 'too')}\n{eight.replace('two', 'too')}", 4: f"\nHome  page\n{seven.upper()}", 5: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.line): (r.kept_doc_id, r.kept_line, r.distance) for r in line_dedup.duplicate_lines(docs).collect()}
+    # the line of eight words in 2 is within one word of "seven x", which has eight too
+    assert got == {(1, 3): (1, 0, 0), (2, 0): (1, 0, 0), (2, 3): (2, 2, 1), (3, 3): (2, 3, 1), (4, 1): (3, 1, 0), (4, 2): (1, 2, 0)}
+    cleaned = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert cleaned[1] == f"Home\n\n{seven}" and cleaned[2] == f" \n{seven} x" and cleaned[4] == "" and cleaned[5] == ""
