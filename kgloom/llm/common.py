@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kgloom.operators.components import shared_dir, written  # noqa: F401
 
@@ -39,6 +40,24 @@ def batches(parts: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Itera
                 start, held = i + 1, 0
 
 
+def annotate(docs: DataFrame, keep: list[str], schema: str, prepare: Callable[[], Callable], most_bytes: int = 8 << 20) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those of ``schema``, computed from ``text`` within one pass.
+
+    ``prepare`` is called once in each task; what it gives is called with the texts of a batch (UTF-8, null: None) and
+    returns one array for each column of ``schema``. A kept column of the same name is replaced.
+    """
+    new = StructType.fromDDL(schema)
+    kept = [c for c in dict.fromkeys(keep) if c not in new.names]
+    read = docs.select(*kept, *(["text"] if "text" not in kept else []))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = prepare()
+        for part, texts in batches(parts, most_bytes):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *compute(texts)], names=[*kept, *new.names])
+
+    return read.mapInArrow(run, StructType([*(read.schema[c] for c in kept), *new.fields]))
+
+
 def doc_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that operators read, whatever else ``docs`` has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -3,10 +3,12 @@
 A text is the set of its byte n-grams of one to three bytes, after lower-casing A-Z and turning every other ASCII
 character into a space. The kernel of two texts is the size of the common set over the root of the product of
 their sizes. Landmark texts span a Nyström space in which one ridge regression per language is fitted in
-closed form; whole batches of texts are scored by matrix products.
+closed form; whole batches of texts are scored by matrix products. Common grams are counted in whole numbers, kernels
+and weights are multiples of 2**-16, so all sums are exact and a text's score does not depend on its neighbours.
 
-Texts that are null or have no letter are ``und`` with score 0, as is every text if nothing can be learned.
-Rows without a language are not learned from. Repeated rows are judged each on its own.
+Texts that are null or have no letter are ``und`` with score 0, as is every text if nothing can be learned; an empty
+table gives an empty result. Rows without a language are not learned from. Repeated rows are judged each on its own,
+ties go to the language first by name, and very long texts are read whole, as any other.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import batches, doc_text, fold_of, scan
+from kgloom.llm.common import annotate, batches, doc_text, fold_of, scan
 
 #: Bytes as the kernel sees them.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Grams of 1, 2 and 3 bytes have numbers of their own.
 ONE, TWO, GRAMS = 1 << 24, (1 << 24) + (1 << 16), (1 << 24) + (1 << 16) + 256
+#: A dense matrix of presences has no more cells, whatever the number of texts.
+DENSE = 1 << 24
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -32,11 +36,16 @@ def has_letter(text: bytes | None) -> bool:
 
 
 def _codes(texts: list[bytes | None]):
-    """Bytes of all texts with two spaces before each, as numbers; and how many each text has."""
+    """Numbers of the three-byte strings that end at each byte of each text, two spaces standing before it; how many each has."""
     import numpy as np
 
     parts = [b"  " + (t or b"").translate(TABLE) for t in texts]
-    return np.frombuffer(b"".join(parts), np.uint8).astype(np.int32), np.array([len(p) for p in parts])
+    n = np.array([len(p) for p in parts])
+    x = np.frombuffer(b"".join(parts), np.uint8).astype(np.int32)
+    code = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
+    # what ends at one of the two spaces reaches back into the neighbour
+    place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    return code[place[2:] >= 2], n - 2
 
 
 def gram_sets(texts: list[bytes | None]) -> list:
@@ -45,14 +54,23 @@ def gram_sets(texts: list[bytes | None]) -> list:
 
     out = []
     for t in texts:
-        x, _ = _codes([t])
-        three = np.unique((x[:-2] << 16) | (x[1:-1] << 8) | x[2:])
+        three = np.unique(_codes([t])[0])
         out.append(np.concatenate((three, np.unique(three & 0xFFFF) + ONE, np.unique(three & 0xFF) + TWO)))
     return out
 
 
+def _exact(x):
+    """Multiples of 2**-16: sums of products of two such numbers have no rounding error."""
+    import numpy as np
+
+    return np.round(x * 65536.0)
+
+
 def fit(sets: list, labels: list[str], landmarks: int, ridge: float) -> dict | None:
-    """The model: feature number of each gram, landmark matrix, and weights from landmark kernels to languages."""
+    """The model: feature number of each gram, landmark matrix, and weights from landmark kernels to languages.
+
+    Landmarks are the first texts of each language in the order given.
+    """
     import numpy as np
 
     langs = sorted(set(labels))
@@ -68,18 +86,22 @@ def fit(sets: list, labels: list[str], landmarks: int, ridge: float) -> dict | N
         for r, i in enumerate(which):
             f = index[sets[i]]
             m[r, f[f >= 0]] = 1
-        return m / np.sqrt(np.maximum(m.sum(axis=1, keepdims=True), 1))
+        return m
 
-    marks, all_rows = rows(chosen), rows(range(len(sets)))
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = rows(chosen)
+    size = np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.float64), 1))
+    kernel = lambda m: _exact((m @ marks.T) / np.sqrt(np.maximum(m.sum(axis=1, dtype=np.float64), 1))[:, None] / size) / 65536.0
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64) / size[:, None] / size)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.hstack(((all_rows @ marks.T) @ root, np.ones((len(sets), 1))))
+    part = max(1, DENSE // len(grams))
+    near = np.vstack([kernel(rows(range(i, min(i + part, len(sets))))) for i in range(0, len(sets), part)])
+    phi = np.hstack((near @ root, np.ones((len(sets), 1))))
     want = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     # languages weigh alike however many texts each has
     weight = 1.0 / np.array([labels.count(x) for x in labels])[:, None]
     w = np.linalg.solve(phi.T @ (phi * weight) + ridge * np.eye(phi.shape[1]), phi.T @ (want * weight))
-    return {"langs": langs, "grams": grams, "marks": marks, "weights": (root @ w[:-1]).astype(np.float32), "bias": w[-1].astype(np.float32)}
+    return {"langs": langs, "grams": grams, "marks": marks, "size": size, "weights": _exact(root @ w[:-1]), "bias": w[-1]}
 
 
 def training_sets(docs: DataFrame, per_language: int, most_languages: int = 1000) -> tuple[list, list[str]]:
@@ -112,44 +134,48 @@ def training_sets(docs: DataFrame, per_language: int, most_languages: int = 1000
     return sets, labels
 
 
-def identify(docs: DataFrame, train: DataFrame, per_language: int = 300, landmarks: int = 32, ridge: float = 1e-3) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row of ``docs``; learned from ``train``'s text and lang.
+def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, per_language: int = 300, landmarks: int = 32, most_landmarks: int = 1024, ridge: float = 1e-3) -> DataFrame:
+    """``lang_pred, score`` of every row of ``docs``, beside its columns ``keep`` (doc_id); learned from ``train``'s text and lang.
 
-    Bounds: ``per_language`` training texts and ``landmarks`` landmark texts of each language.
+    Bounds: ``per_language`` training texts and ``landmarks`` landmark texts of each language, ``most_landmarks`` in all.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(*training_sets(train, per_language), landmarks, ridge))
+    sets, labels = training_sets(train, per_language)
+    model = docs.sparkSession.sparkContext.broadcast(fit(sets, labels, max(1, min(landmarks, most_landmarks // max(1, len(set(labels))))), ridge))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare():
         import numpy as np
 
         m = model.value
-        if m:
-            index = np.full(GRAMS, len(m["grams"]), np.int32)  # grams of no landmark fall in a column that is not used
-            index[m["grams"]] = np.arange(len(m["grams"]))
-            three, two, one = index[:ONE], index[ONE:TWO], index[TWO:]
-            marks, width = np.ascontiguousarray(m["marks"].T), len(m["grams"]) + 1
-        for part, texts in batches(parts, 2 << 20):
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            if m:
-                x, n = _codes(texts)
-                row = np.repeat(np.arange(len(texts), dtype=np.int64) * width, n)[2:]
-                held = np.zeros((len(texts), width), np.uint8)
-                flat = held.ravel()
-                code = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-                # the two spaces before a text keep grams of neighbours apart but for those that end in a space
-                for feature in (three[code], two[code & 0xFFFF], one[code & 0xFF]):
-                    flat[row + feature] = 1
-                p = held[:, :-1].astype(np.float32)
-                norm = np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
-                out = ((p @ marks) / norm) @ m["weights"] + m["bias"]
-                best = out.argmax(axis=1)
-                for i, t in enumerate(texts):
-                    if has_letter(t):
-                        pred[i] = m["langs"][best[i]]
-                        score[i] = min(1.0, max(0.0, (float(out[i, best[i]]) + 1) / 2))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return doc_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+        if not m:
+            return lambda texts: (pa.array(["und"] * len(texts), pa.string()), pa.array(np.zeros(len(texts))))
+        index = np.full(GRAMS, len(m["grams"]), np.int32)  # grams of no landmark fall in a column that is not used
+        index[m["grams"]] = np.arange(len(m["grams"]))
+        three, two, one = index[:ONE], index[ONE:TWO], index[TWO:]
+        marks, width = np.ascontiguousarray(m["marks"].T), len(m["grams"]) + 1
+        most = max(1, DENSE // width)
+
+        def values(texts):
+            code, n = _codes(texts)
+            row = np.repeat(np.arange(len(texts), dtype=np.int64) * width, n)
+            held = np.zeros((len(texts), width), np.uint8)
+            flat = held.ravel()
+            for feature in (three[code], two[code & 0xFFFF], one[code & 0xFF]):
+                flat[row + feature] = 1
+            p = held[:, :-1].astype(np.float32)
+            norm = np.sqrt(np.maximum(p.sum(axis=1, keepdims=True, dtype=np.float64), 1))
+            return (_exact((p @ marks) / norm / m["size"]) @ m["weights"]) / 2.0**32 + m["bias"]
+
+        def compute(texts):
+            out = np.vstack([values(texts[i : i + most]) for i in range(0, len(texts), most)])
+            best = out.argmax(axis=1)
+            told = [has_letter(t) for t in texts]
+            score = np.where(told, np.clip((out[np.arange(len(best)), best] + 1) / 2, 0, 1), 0)
+            return pa.array([m["langs"][b] if ok else "und" for b, ok in zip(best, told, strict=True)], pa.string()), pa.array(score)
+
+        return compute
+
+    read = doc_text(docs) if keep is None else docs
+    return annotate(read, keep or ["doc_id"], "lang_pred string, score double", prepare, 2 << 20)
 
 
 def accepted(found: DataFrame, least_score: float = 0.3) -> DataFrame:
