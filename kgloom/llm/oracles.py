@@ -4,12 +4,13 @@ from kgloom.llm import licenses, quality_rules
 
 _WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _stops = ", ".join(f"'{w}'" for w in sorted({w for x in quality_rules.STOP_WORDS for w in x.split()}))
+_marks = "'" + quality_rules.MARKS.replace("'", "''") + "'"
 _values = {
     "n_words": "n_words",
     "mean_word_chars": "word_chars / greatest(n_words, 1)",
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
     "letter_ratio": "n_letters / greatest(word_chars, 1)",
-    "stop_word_ratio": "n_stop / greatest(least(n_words, 100), 1)",
+    "stop_word_ratio": "n_stop / greatest(n_words, 1)",
     "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
     "ellipsis_line_ratio": "n_ellipsis / greatest(n_lines, 1)",
     "repeat_word_ratio": "n_repeat_words / greatest(n_words, 1)",
@@ -24,7 +25,7 @@ r as (select g.doc_id, g.i from g join (select doc_id, g from g group by 1, 2 ha
 c as (select doc_id, count(distinct i + k) as n from r cross join (values (0), (1), (2)) v(k) group by 1),
 m as (select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
   cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(array_to_string(ws, ''), '[^\p{{L}}]', '', 'g')) as n_letters,
-  len(list_filter(list_distinct(ws), lambda x: x in ({_stops}))) as n_stop, len(list_filter(ls, lambda x: regexp_matches(trim(x, {_WS}), '([.][.][.]|…)$'))) as n_ellipsis from w left join c using (doc_id)),
+  len(list_filter(ws, lambda x: lower(trim(x, {_marks})) in ({_stops}))) as n_stop, len(list_filter(ls, lambda x: regexp_matches(trim(x, {_WS}), '([.][.][.]|…)$'))) as n_ellipsis from w left join c using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, list_filter([{_broken}], lambda x: x is not null) as broken from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(array_to_string(broken, ','), '') as failed_rules, not base_failed and len(broken) = 0 as kept from f"""
 

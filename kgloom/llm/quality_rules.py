@@ -1,7 +1,7 @@
 """Quality rules: a threshold table compiled into one projection of built-in functions.
 
 Nulls and empty texts have no words and fail the base rule. Repeated rows are judged alike, each on
-its own; an empty table gives an empty result; other columns of the input are ignored.
+its own; an empty table gives an empty result; other columns of the input are ignored; very long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ RULES = (
 )
 
 SYMBOLS = r"[#*$%&|<>]"
+#: What may stand around a stop word.
+MARKS = ".,;:!?\"'()[]{}*#$%&|<>"
 NOT_BLANK = r"[^ \t-\r]"
 
 
@@ -66,7 +68,7 @@ def metrics(text: Column) -> Column:
     """A struct with the counts of one text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t-\r]+"))
-    stops = F.array(*[F.lit(w) for w in sorted({w for x in STOP_WORDS for w in x.split()})])
+    stops = sorted({w for x in STOP_WORDS for w in x.split()})
     lines = bind(
         F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOT_BLANK)),
         lambda k: F.struct(
@@ -82,7 +84,7 @@ def metrics(text: Column) -> Column:
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(F.array_join(w, ""), r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             _repeat_words(w, F.size(w)).cast("long").alias("n_repeat_words"),
-            F.size(F.array_intersect(w, stops)).alias("n_stop_kinds"),
+            F.size(F.filter(w, lambda x: F.lower(F.btrim(x, F.lit(MARKS))).isin(stops))).alias("n_stop"),
             F.length(F.regexp_replace(F.array_join(w, ""), r"\P{L}+", "")).cast("long").alias("n_letters"),
             lines.alias("lines"),
         ),
@@ -92,7 +94,7 @@ def metrics(text: Column) -> Column:
 def apply_rules(docs: DataFrame, rules: tuple[tuple[str, float, float], ...] = RULES) -> DataFrame:
     """``doc_id``, counts, ratios, ``base_failed``, ``failed`` (names of broken rules) and ``kept``."""
     counted = doc_text(docs).select("doc_id", metrics(F.col("text")).alias("m")).select(
-        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.lines.n_dup_lines", "m.n_repeat_words", "m.n_stop_kinds", "m.n_letters", "m.lines.n_lines", "m.lines.n_ellipsis"
+        "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.lines.n_dup_lines", "m.n_repeat_words", "m.n_stop", "m.n_letters", "m.lines.n_lines", "m.lines.n_ellipsis"
     )
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     values = {
@@ -100,7 +102,7 @@ def apply_rules(docs: DataFrame, rules: tuple[tuple[str, float, float], ...] = R
         "mean_word_chars": per("word_chars", "n_words"),
         "symbols_per_word": per("n_symbols", "n_words"),
         "letter_ratio": per("n_letters", "word_chars"),
-        "stop_word_ratio": F.col("n_stop_kinds") / F.greatest(F.least(F.col("n_words"), F.lit(100)), F.lit(1)),
+        "stop_word_ratio": per("n_stop", "n_words"),
         "dup_line_ratio": per("n_dup_lines", "n_lines"),
         "ellipsis_line_ratio": per("n_ellipsis", "n_lines"),
         "repeat_word_ratio": per("n_repeat_words", "n_words"),
