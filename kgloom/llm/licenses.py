@@ -4,7 +4,8 @@ Blocks are paragraphs. A template is found in a block that holds at least ``thre
 Words are ordered by document frequency, rarest first; a block can only reach the threshold if it holds one of a
 template's first few words (prefix), has words enough (length), and has enough words left from there on (position).
 
-Null texts count as empty. Repeated rows are scanned each on its own. An empty table gives an empty result.
+Null texts count as empty. Repeated rows are scanned each on its own. An empty table gives an empty result; other
+columns are ignored; very long texts are scanned whole. Of several places of a template in a block the fullest counts.
 """
 
 from __future__ import annotations
@@ -57,48 +58,55 @@ def _places(w: Column) -> Column:
     )
 
 
-def find_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """Per row: doc_id, n_words, places (base phrases), found (template number, label, block, containment)."""
+def _literal(words: list[str]) -> Column:
+    """A constant array; words hold no space."""
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+
+
+def find_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
+    """Per row: doc_id, n_words, places (base phrases), found (template number, label, block, containment).
+
+    ``templates``: a reference table of ``label, text``, numbered in their order; without one, TEMPLATES.
+    """
     spark = docs.sparkSession
-    sets = [sorted(set(t.split())) for _, t in templates]
-    need = [math.ceil(threshold * len(s)) for s in sets]
-    vocabulary = sorted({w for s in sets for w in s})
-    lit = lambda ws: F.array(*[F.lit(w) for w in ws])
+    given = [(r.label, r.text) for r in templates.select("label", "text").sort("label", "text").collect()] if templates else list(TEMPLATES)
+    given = [(label, sorted(set(t.split()))) for label, t in given]
+    need = [max(1, math.ceil(threshold * len(s))) for _, s in given]
+    vocabulary = sorted({w for _, s in given for w in s})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    reached = lambda held: F.array_max(F.array(*[F.size(F.array_intersect(held, lit(s))) >= n for s, n in zip(sets, need, strict=True)]))
+    of = lambda w, words: F.filter(w, lambda x: x.isin(words))
+    # document frequencies of the templates' words: as many rows as the templates have words
+    met_words = docs.select(F.explode(F.array_distinct(of(words_of(text), vocabulary))).alias("w"))
+    counts = {r.w: r["count"] for r in met_words.groupBy("w").count().collect()}
+    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(order)}
+    entries = []
+    for k, ((label, s), n) in enumerate(zip(given, need, strict=True)):
+        s = sorted(s, key=rank.get)
+        entries += [(w, k, label, i, len(s), n, s) for i, w in enumerate(s[: len(s) - n + 1])]
+    prefix = sorted({e[0] for e in entries})
     first = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         bind(
             words_of(text),
-            lambda w: bind(
-                F.array_intersect(lit(vocabulary), w),
-                lambda held: F.struct(
-                    F.size(w).cast("long").alias("n_words"),
-                    F.when(F.array_contains(held, "license"), _places(w)).alias("places"),
-                    held.alias("held"),
-                    # a text that doesn't reach a threshold as a whole has no block that does
-                    F.when(
-                        (F.size(held) >= min(need)) & reached(held),
-                        F.transform(F.split(text, BLANK_LINE), lambda b: F.array_intersect(lit(vocabulary), words_of(b))),
-                    ).alias("blocks"),
-                ),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.when(F.array_contains(w, "license"), _places(w)).alias("places"),
+                # only a block that holds a prefix word of some template can reach the threshold
+                F.when(
+                    F.exists(w, lambda x: x.isin(prefix)),
+                    F.transform(F.split(text, BLANK_LINE), lambda b: F.array_distinct(of(words_of(b), vocabulary))),
+                ).alias("blocks"),
             ),
         ).alias("m"),
     )
     first = written(first.select("doc_id", F.monotonically_increasing_id().alias("row"), "m.*"))
-    # document frequencies of the templates' words: as many rows as the templates have words
-    counts = {r.w: r["count"] for r in first.select(F.explode("held").alias("w")).groupBy("w").count().collect()}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    ordered = lit(sorted(vocabulary, key=rank.get))
-    entries = []
-    for k, (s, n) in enumerate(zip(sets, need, strict=True)):
-        s = sorted(s, key=rank.get)
-        entries += [(w, k, templates[k][0], i, len(s), n, s) for i, w in enumerate(s[: len(s) - n + 1])]
-    # one row per prefix word of a template: its size is that of the templates, known beforehand
-    index = F.broadcast(spark.createDataFrame(entries, "word string, template int, label string, pos int, size int, need int, words array<string>"))
-    prefix = lit(sorted({e[0] for e in entries}))
+    index = spark.createDataFrame(entries, "word string, template int, label string, pos int, size int, need int, words array<string>")
+    if len(entries) < 100_000:  # one row per prefix word of a template
+        index = F.broadcast(index)
     blocks = first.where("blocks is not null").select("row", F.posexplode("blocks").alias("block", "held"))
-    probes = blocks.select("row", "block", F.array_intersect(ordered, "held").alias("held")).withColumn("word", F.explode(F.array_intersect("held", prefix)))
+    blocks = blocks.where(F.exists("held", lambda x: x.isin(prefix))).select("row", "block", F.array_intersect(_literal(order), "held").alias("held"))
+    probes = blocks.select("row", "block", "held", F.explode(of(F.col("held"), prefix)).alias("word"))
     at = F.array_position("held", F.col("word")).cast("int")
     most = F.least(F.col("pos"), at - 1) + 1 + F.least(F.col("size") - F.col("pos") - 1, F.size("held") - at)
     common = F.size(F.array_intersect("held", "words"))
