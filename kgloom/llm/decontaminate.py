@@ -3,25 +3,26 @@
 Each text is normalised once and scanned once; found windows are mapped back to words and to code points
 of the original. Nulls and empty texts have no words and no hits; items without a word or an id are
 ignored; equal windows of several items count for each; repeated document rows are judged each on its own;
-an empty benchmark hits nothing.
+an empty benchmark hits nothing, and an empty table gives an empty result. Very long texts are scanned whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import batches, doc_text, scan
+from kgloom.llm.common import annotate, doc_text, scan, written
 
 #: Bytes to what they count as: A-Z in lower case, other ASCII but digits and letters as a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+HITS = "n_words long, n_hit long, items array<string>, runs array<struct<a:long,b:long,start:long,end:long>>"
+#: First and last word of a run of hit words, and its place in code points.
+RUN = pa.list_(pa.struct([(k, pa.int64()) for k in ("a", "b", "start", "end")]))
 
 
 def window_table(rows: list[tuple[str, str]], window: int) -> dict[bytes, list[str]]:
@@ -54,63 +55,84 @@ def _runs(hit) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def scanner(shards: list):
-    """A function over record batches of ``doc_id, text``; shards: broadcast window tables."""
+def scanner(windows):
+    """What ``annotate`` asks for: hits of one part of the benchmark; ``windows``: its broadcast window table."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare():
         import numpy as np
 
-        built = [_automaton(s.value) for s in shards] if len(shards) == 1 else None
-        for part, texts in batches(parts):
-            words = [(t or b"").translate(TABLE).split() for t in texts]
-            hits: dict[int, list] = {}
-            for k, shard in enumerate(shards):
-                made = built[k] if built else _automaton(shard.value)
-                if made is None:
-                    continue
-                for i, w in enumerate(words):
-                    if w:
-                        joined = b" " + b" ".join(w) + b" "
-                        if found := list(made.iter(joined.decode("latin-1"))):
-                            spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-                            hit, items = hits.setdefault(i, [np.zeros(len(w), bool), set()])
-                            ends = np.searchsorted(spaces, [e for e, _ in found])
-                            for end, (_, (_, n, of)) in zip(ends.tolist(), found, strict=True):
-                                hit[end - n : end] = True
-                                items.update(of)
-            spans = {}
-            for i, (hit, _) in hits.items():
-                at = [m.span() for m in WORD.finditer(texts[i].decode())]
-                spans[i] = [{"start": at[a][0], "end": at[b][1]} for a, b in _runs(hit)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([int(hits[i][0].sum()) if i in hits else 0 for i in range(len(words))], pa.int64()),
-                    pa.array([sorted(hits[i][1]) if i in hits else [] for i in range(len(words))], pa.list_(pa.string())),
-                    pa.array([spans.get(i, []) for i in range(len(words))], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
-
-    return run
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = 32 << 20) -> DataFrame:
-    """Per document row: words, words within benchmark windows, the items, and hit spans in code points.
+        made = _automaton(windows.value)
+
+        def compute(texts):
+            n_words, n_hit, items, runs = [], [], [], []
+            for t in texts:
+                w = (t or b"").translate(TABLE).split()
+                joined = b" " + b" ".join(w) + b" "
+                found = list(made.iter(joined.decode("latin-1"))) if w and made else []
+                hit, of = np.zeros(len(w) if found else 0, bool), set()
+                if found:
+                    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+                    ends = np.searchsorted(spaces, [e for e, _ in found])
+                    for end, (_, (_, n, ids)) in zip(ends.tolist(), found, strict=True):
+                        hit[end - n : end] = True
+                        of.update(ids)
+                at = [m.span() for m in WORD.finditer(t.decode())] if found else []
+                n_words.append(len(w))
+                n_hit.append(int(hit.sum()))
+                items.append(sorted(of))
+                runs.append([{"a": a, "b": b, "start": at[a][0], "end": at[b][1]} for a, b in _runs(hit)])
+            return pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, RUN)
+
+        return compute
+
+    return prepare
+
+
+def _merged(runs: Column) -> Column:
+    """Runs of hit words, those that meet or overlap made one."""
+    none = F.array().cast("array<struct<a:long,b:long,start:long,end:long>>")
+
+    def add(held: Column, x: Column) -> Column:
+        last = F.get(held, F.size(held) - 1)
+        both = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(last["b"] + 1 >= x["a"], F.concat(F.slice(held, 1, F.size(held) - 1), F.array(both))).otherwise(F.concat(held, F.array(x)))
+
+    return F.aggregate(F.array_sort(runs), none, add)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 13, shard_bytes: int = 32 << 20) -> DataFrame:
+    """Per document row, beside the columns ``keep`` (doc_id): words, words within benchmark windows, the items, hit spans in code points.
 
     The benchmark is measured first; one larger than ``shard_bytes`` of text is cut by a hash of the item
-    into parts of about that size, whose automata are built in turn for each batch of texts.
+    into parts of about that size. The texts are then written once and scanned part by part, each part's automaton
+    built once in a task, and the parts' hits are merged by row.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = max(1, -(-size // shard_bytes))
-    shards = []
-    for k in range(n):
+    docs, keep = (docs, keep) if keep else (doc_text(docs), ["doc_id"])
+
+    def scanned(texts: DataFrame, kept: list[str], k: int) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        shards.append(spark.sparkContext.broadcast(window_table([tuple(r) for r in part.collect()], window)))
-    return doc_text(docs).mapInArrow(scanner(shards), HITS)
+        windows = spark.sparkContext.broadcast(window_table([tuple(r) for r in part.collect()], window))
+        return annotate(texts, kept, HITS, scanner(windows))
+
+    if n == 1:
+        found = scanned(docs, keep, 0)
+    else:
+        texts = written(docs.select(*dict.fromkeys([*keep, "text"]), F.monotonically_increasing_id().alias("_row")))
+        first = written(scanned(texts, [*keep, "_row"], 0))
+        hits = first.where("n_hit > 0").select("_row", "items", "runs")
+        for k in range(1, n):
+            hits = hits.union(written(scanned(texts, ["_row"], k).where("n_hit > 0").select("_row", "items", "runs")))
+        flat = lambda c: F.flatten(F.collect_list(c))
+        hits = hits.groupBy("_row").agg(F.array_sort(F.array_distinct(flat("items"))).alias("all_items"), _merged(flat("runs")).alias("all_runs"))
+        n_hit = F.aggregate("all_runs", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"] + 1)
+        found = first.join(hits, "_row", "left").select(
+            *keep, "n_words", F.coalesce(n_hit, "n_hit").alias("n_hit"), F.coalesce("all_items", "items").alias("items"), F.coalesce("all_runs", "runs").alias("runs")
+        )
+    return found.withColumn("spans", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))).drop("runs")
 
 
 def judged(hits: DataFrame) -> DataFrame:
