@@ -3,11 +3,13 @@
 Each text is cut into windows of a few words, each window is compressed with either dictionary, and the differences
 in length, summed up per text, go through a calibrated logistic threshold. Both dictionaries hold the same common
 ordinary text; one adds passages that labels mark as toxic (character runs far more frequent, by documents, in
-toxic than in ordinary texts), the other as much ordinary text. A filler that both know starts each window, so
-that even short ones are compressed.
+toxic than in ordinary texts), the other as much ordinary text. Labels mark whole documents, most windows of which are
+ordinary, so dictionaries of whole windows tell little (the README has figures). A filler that both know starts each
+window, so that even short ones are compressed.
 
-Null and empty texts are one window without words and get a score like any other. Null labels are not learned from,
-of several labels of a document the highest counts; without labels every score is 0.
+Null and empty texts are one window without words and get a score like any other; an empty table gives an empty
+result; repeated rows are scored each on its own, very long texts whole. Null labels are not learned from, of several
+labels of a document the highest counts; without labels every score is 0. A score of exactly 0.5 counts as toxic.
 """
 
 from __future__ import annotations
@@ -15,13 +17,12 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import batches, doc_text, fold_of, scan
+from kgloom.llm.common import annotate, doc_text, fold_of, scan
 from kgloom.llm.language_id import TABLE
 
 FILLER = b".".join(bytes((65 + i, 66 + i, 67 + i)) for i in range(12))
@@ -46,14 +47,12 @@ def runs(text: bytes, sizes: tuple[int, ...] = (4, 5, 6, 7, 8, 10)) -> set[bytes
 def passages(toxic: list[bytes], ordinary: list[bytes], least_z: float, least_lift: float, most_bytes: int) -> list[bytes]:
     """Runs at least ``least_lift`` times as frequent in toxic texts, with a two-proportion z of at least ``least_z``.
 
-    The clearest and longest come first, none lies within another, ``most_bytes`` in all: a longer list would
-    crowd the dictionary with chance finds.
+    The clearest and longest come first, none lies within another; ``most_bytes`` bounds the dictionary.
     """
     a, b = Counter(), Counter()
     for t in toxic:
         a.update(runs(t))
-    floor = max(4, len(toxic) // 100)
-    kept = {g for g, n in a.items() if n >= floor}
+    kept = {g for g, n in a.items() if n >= 4}  # rarer ones never reach the z wanted
     for t in ordinary:
         b.update(runs(t) & kept)
     n, m = len(toxic), len(ordinary)
@@ -70,6 +69,22 @@ def passages(toxic: list[bytes], ordinary: list[bytes], least_z: float, least_li
     return out
 
 
+def drawn_windows(texts: list[bytes], size: int, seed: int) -> bytes:
+    """``size`` bytes of windows drawn evenly from all of all texts; fewer if there are no more."""
+    r = random.Random(seed)
+    most = size // WORDS  # so many windows are surely enough
+    kept: list[bytes] = []
+    seen = 0
+    for t in texts:
+        for w in windows(t):
+            seen += 1
+            at = len(kept) if len(kept) < most else r.randrange(seen)
+            if at < most:
+                kept[at : at + 1] = [w[len(FILLER) :]]
+    r.shuffle(kept)
+    return b"".join(kept)[:size]
+
+
 class Model:
     """The two dictionaries and the calibration; compressors are made where they are used."""
 
@@ -118,7 +133,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(((f - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(texts: list[bytes], labels: list[int], least_z: float = 6.0, least_lift: float = 8.0, passage_bytes: int = 1400, base_bytes: int = 8 << 10, seed: int = 5) -> Model | None:
+def fit(texts: list[bytes], labels: list[int], least_z: float = 6.0, least_lift: float = 8.0, passage_bytes: int = 64 << 10, base_bytes: int = 8 << 10, seed: int = 5) -> Model | None:
     """Dictionaries from one half of the texts, calibration on the other, so that it isn't told what it knows."""
     import numpy as np
 
@@ -132,9 +147,7 @@ def fit(texts: list[bytes], labels: list[int], least_z: float = 6.0, least_lift:
     if not toxic or not ordinary:
         return None
     extra = b"\n".join(passages(toxic, ordinary, least_z, least_lift, passage_bytes)[::-1]) + b"\n"
-    pool = [w[len(FILLER) :] for t in ordinary[:1500] for w in windows(t)[:200]]
-    random.Random(seed).shuffle(pool)
-    plain = b"".join(pool)[: base_bytes + len(extra)]
+    plain = drawn_windows(ordinary, base_bytes + len(extra), seed)
     base = plain[: -len(extra)] + FILLER
     model = Model(extra + base, plain[-len(extra) :] + base)
     ordinary_c, toxic_c = model.compressors()
@@ -144,13 +157,16 @@ def fit(texts: list[bytes], labels: list[int], least_z: float = 6.0, least_lift:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of about ``sample`` documents at most, a third of them toxic, drawn by a hash of the id."""
+    """Texts and labels of at most ``2 * sample`` documents, a third of about ``sample`` toxic, drawn by a hash of the id.
+
+    Of rows of one id the least text is learned from.
+    """
     one = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / 3 / max(1, counts.get(1, 0)))).otherwise(min(1.0, 2 * sample / 3 / max(1, counts.get(0, 0))))
     # the limit holds what the rate already gives, so that the broadcast has a bound
     drawn = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)).orderBy("doc_id").limit(2 * sample)
-    rows = doc_text(docs).where("text is not null").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = doc_text(docs).where("text is not null").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text.encode() for r in rows], [r.toxic for r in rows]
 
@@ -159,16 +175,14 @@ def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, score`` of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare():
         import numpy as np
 
         m = sent.value
         ordinary, toxic = m.compressors() if m else (None, None)
-        for part, texts in batches(parts):
-            score = m.score(np.array([m.features(t, ordinary, toxic) for t in texts])) if m else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+        return lambda texts: (pa.array(m.score(np.array([m.features(t, ordinary, toxic) for t in texts])) if m else np.zeros(len(texts))),)
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, score double")
+    return annotate(doc_text(docs), ["doc_id"], "score double", prepare)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str, sample: int = 9000) -> DataFrame:
