@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 Nulls and empty texts are the single end id. Only documents longer than a sequence are cut. Repeated rows
-are packed each on its own; an empty table packs to nothing.
+are packed each on its own; an empty table packs to nothing. Ties in length go by id and piece. Very long texts are
+encoded whole, their words looked up in batches.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -36,6 +38,10 @@ class WordCoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.bare, self.most = Tokenizer.from_str(spec), Tokenizer.from_str(spec), most
+        known = json.loads(spec)
+        tail, lower = (known.get("model") or {}).get("end_of_word_suffix"), "lowercase" in json.dumps(known.get("normalizer") or {}).lower()
+        if tail != "</w>" or not lower:  # what looking words up by their letters rests on
+            raise ValueError("the tokenizer must lower-case its text and end words with </w>")
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.bare.get_vocab()
