@@ -1,11 +1,14 @@
 """SimHash near-duplicates by an inverted index on byte positions.
 
 Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their 8 bytes, position for
-position. The index is keyed by the values of four positions at once (70 such keys), so whoever shares a key
-has reached the guaranteed number of matches; pairs are then verified bit by bit.
+position. Lists of single positions would hold one fingerprint in 256 each, and the pairs to tally would grow with the
+square of the table (the README has figures). So the index is keyed by the values of four positions at once (70 such
+keys): who shares a key has reached the guaranteed number of matches. The equal bytes of each pair are then tallied in full, which
+also says the one key it belongs to, and the pair is verified bit by bit.
 
 Nulls and texts without a word have fingerprint zero and are linked like any other. Equal fingerprints are one
-entry of the index. Repeated rows share a component. An empty table gives an empty result.
+entry of the index. Repeated rows share a component; rows without an id have one too, but don't name it. An empty
+table gives an empty result; other columns are ignored; very long texts are hashed whole, in batches of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import batches, doc_text, scan, written
-from kgloom.operators.components import connected_components
+from kgloom.operators.components import connected_components, spread_join
 
 BYTES, MATCHES, BITS = 8, 4, 4
 #: A longer list of one key is cut into blocks that are compared pairwise by other tasks.
@@ -91,6 +94,13 @@ def _first_key():
     return np.array([next((k for k, m in enumerate(masks) if m & x == m), -1) for x in range(256)])
 
 
+def _tally(x):
+    """For each difference of two fingerprints, which of their bytes are equal, as 8 bits."""
+    import numpy as np
+
+    return np.packbits(x.view(np.uint8).reshape(-1, BYTES) == 0, axis=1, bitorder="little").ravel() if len(x) else np.zeros(0, np.uint8)
+
+
 def _linked(a, b, key: int, first):
     """Matrix of the pairs that are within the bit bound and belong to this key."""
     import numpy as np
@@ -98,8 +108,7 @@ def _linked(a, b, key: int, first):
     x = a[:, None] ^ b[None, :]
     near = np.bitwise_count(x) <= BITS
     i, j = np.nonzero(near)
-    equal = np.packbits(x[i, j].view(np.uint8).reshape(-1, BYTES) == 0, axis=1, bitorder="little").ravel()
-    near[i, j] = first[equal] == key
+    near[i, j] = first[_tally(x[i, j])] == key
     return near
 
 
@@ -161,8 +170,7 @@ def _links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = two[(two > 0) & (two < len(size) - 1)]
         x, y = fp[edge[two]], fp[edge[two] + 1]
         z = x ^ y
-        equal = np.packbits(z.view(np.uint8).reshape(-1, BYTES) == 0, axis=1, bitorder="little").ravel() if len(two) else np.zeros(0, int)
-        good = (np.bitwise_count(z) <= BITS) & (first[equal] == key[edge[two]] >> 32)
+        good = (np.bitwise_count(z) <= BITS) & (first[_tally(z)] == key[edge[two]] >> 32)
         if good.any():
             yield rows(x[good].view(np.int64), y[good].view(np.int64), np.full(good.sum(), -1))
         more = np.flatnonzero(size > 2)
@@ -196,7 +204,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        got = _spanning(np.unique(x["fp"].to_numpy()).view(np.uint64), int(key[0]) >> 32, _first_key())
+        fps, k, first = np.unique(x["fp"].to_numpy()).view(np.uint64), int(key[0]) >> 32, _first_key()
+        got = _spanning(fps, k, first)
         return pd.DataFrame({"a": [_signed(p) for p, _ in got], "b": [_signed(q) for _, q in got]}, dtype="int64")
 
     return links.union(pairs.groupBy("key", "i", "j").applyInPandas(run, "a long, b long"))
@@ -205,14 +214,14 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id``: the component is named by its smallest document id."""
     fps = written(fingerprints(docs))
-    links = fingerprint_links(fps)
-    joined = connected_components(links)
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = least.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    # a class can be large, but it has one row per distinct fingerprint, and only its minimum is asked for
-    named = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    by_fp = classes.select("fp", "class").join(named, "class").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    per_fp = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    joined = written(connected_components(fingerprint_links(per_fp)).select(F.col("node").alias("fp"), F.col("component").alias("class")))
+    # only fingerprints with a link are in a class of more than themselves
+    in_class = written(per_fp.join(joined, "fp").select("fp", "class", "least"))
+    named = in_class.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_class = spread_join(in_class.select("fp", "class"), named.select("class", "component_id"), "class", named.select("class", "n"))
+    by_fp = per_fp.join(of_class.select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return spread_join(fps, by_fp, "fp", per_fp.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
