@@ -7,8 +7,9 @@ change while scoring, so exclusion depends on two neighbouring contexts only, an
 bytes before it. So the distinct strings of the texts are scored, part by part of the trie; texts then look
 theirs up and add. No string is left out, however many there are.
 
-Null texts count as empty: one end token, and the end byte. Repeated rows are scored each on its own. Without
-training texts every byte costs 1/256 and the base has N = V = 0.
+Null texts count as empty: one end token, and the end byte. Repeated rows are scored each on its own, and each
+counts where it is learned from; very long texts are counted and scored whole; an empty table gives an empty result;
+other columns are ignored. Without training texts every byte costs 1/256 and the base has N = V = 0.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import batches, doc_text, fold_of, scan, written
 
-ORDER = 4
+ORDER = 5
 #: Words seen this often or more go to every executor, about this many; the rest are joined.
-FREQUENT = 200_000
+FREQUENT = 100_000
 #: About so many strings of ORDER + 1 bytes make a part of the trie.
 TRIE_GRAMS = 500_000
 #: Texts are scored with so many strings' logarithms at a time; beyond, they are read again for the next ones.
