@@ -1,35 +1,73 @@
 """Line de-duplication over the whole corpus by a deletion-neighbourhood join.
 
-All lines but blank ones are compared; white space and the case of A-Z don't count. A line goes if an earlier one, by
-document id and then line number, is equal or, where both have at least ``MIN_WORDS`` words, differs by one
-inserted, deleted or replaced word. Shorter lines go only if equal, as one word is much of what they say.
+Units are lines, white space and the case of A-Z left aside. A line of more than ``LONG`` words is cut into pieces at words that
+a hash picks, so that a passage that stands in different lines is cut alike in all of them. Blank lines are no units.
+A unit goes if an earlier one, by document id, text, line and piece, is equal or, where both have at least ``MIN_WORDS`` words,
+differs by one inserted, deleted or replaced word. Shorter lines go only if equal, as one word is much of what they say.
+What a unit is near to may go itself; ``kept_*`` then name the unit at the start of that chain, which stays.
 
-Two lines that differ by one word share their first or their last words up to the edit, so only lines with a partner for
+Two units that differ by one word share their first or their last words up to the edit, so only units with a partner for
 one of these two hashes emit variants: themselves, and themselves without one word, at the places
-the shared hash leaves open. Lines that miss the same word at the same place, or of which one is the other
+the shared hash leaves open. Units that miss the same word at the same place, or of which one is the other
 without a word, meet under one hashed key; each key is reduced to its earliest members, so no pairs are
 formed within a group. Every pair found is verified word by word.
 
-Null texts have no lines. Lines of repeated rows (equal document ids) share their places and are kept or
-dropped alike. A text of which every line goes becomes empty; its row stays.
+Rows without an id or a text have no units and stay as they are. Rows of one id with different texts are told apart by
+a hash of the text; repeated rows share their places and are kept or dropped alike. A text of which every line goes
+becomes empty; its row stays. An empty table gives an empty result; very long texts are compared whole; other
+columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from kgloom.llm.common import batches, doc_text, scan, written
+from kgloom.llm.common import WHITE, batches, doc_text, scan, written
 
 MIN_WORDS = 8
+#: A longer line is cut into pieces of MIN_WORDS words at least and twice that on average; MOST without a place to cut.
+LONG, MOST = 32, 40
+PIECE_BITS = 24
+WORD = re.compile(r"[^ \t-\r]+")
 BASE = 0x9E3779B97F4A7C15  # odd, for polynomial hashes modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
-LINES = "doc_id long, line int, h1 long, h2 long, keys array<struct<key:long,part:int>>"
-VARIANTS = "v long, p int, doc_id long, line int, text string"
+LINES = "doc_id long, version long, unit long, h1 long, h2 long, keys array<struct<key:long,part:int>>"
+VARIANTS = "v long, p int, doc_id long, version long, unit long, text string"
+
+
+def cuts(words: list[bytes]) -> list[int]:
+    """Ends of the pieces of a line."""
+    n = len(words)
+    if n <= LONG:
+        return [n]
+    out, at = [], 0
+    while n - at >= 2 * MIN_WORDS:
+        end = at + MIN_WORDS
+        last = min(at + MOST, n - MIN_WORDS)
+        while end < last and crc32(words[end - 1]) & 7:
+            end += 1
+        out.append(end)
+        at = end
+    return [*out, n]
+
+
+def units(line: int, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and words of a line's units: the line's number, and in the low bits 0, or the piece's number from 1."""
+    ends = cuts(words)
+    if len(ends) == 1:
+        yield line << PIECE_BITS, words
+    else:
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            yield (line << PIECE_BITS) + k + 1, words[a:b]
 
 
 def _signed(x: int) -> int:
@@ -59,35 +97,40 @@ def _line_hash(joined: bytes) -> tuple[int, int]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
+    """The units of ``doc_id, version, text``."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = pa.list_(pa.struct([("key", pa.int64()), ("part", pa.int32())]))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), key)
         for part, texts in batches(parts):
             out = []
-            for doc, t in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+            for doc, version, t in zip(part.column("doc_id").to_pylist(), part.column("version").to_pylist(), texts, strict=True):
                 for i, x in enumerate((t or b"").lower().split(b"\n")):
-                    words = x.split()
-                    if words:  # below MIN_WORDS there are no half keys, so such a line meets only its equals
-                        out.append((doc, i, *_line_hash(b" ".join(words)), [{"key": k, "part": c} for k, c in half_keys(words)]))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), key), strict=True)], names=["doc_id", "line", "h1", "h2", "keys"]
-            )
+                    if words := x.split():
+                        # below MIN_WORDS there are no half keys, so such a line meets only its equals
+                        out += [(doc, version, u, *_line_hash(b" ".join(w)), [{"key": k, "part": c} for k, c in half_keys(w)]) for u, w in units(i, words)]
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "version", "unit", "h1", "h2", "keys"])
 
-    return doc_text(docs).mapInArrow(run, LINES)
+    return docs.mapInArrow(run, LINES)
 
 
 def _variants(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of VARIANTS for the wanted lines: p = -1 is the line itself, with its text."""
+    """Rows of VARIANTS for the wanted units: p = -1 is the unit itself, with its text."""
     import numpy as np
     from xxhash import xxh64_intdigest as digest
 
     for part, texts in batches(parts):
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
         kept: list = []
-        for doc, t, want in zip(part.column("doc_id").to_pylist(), texts, part.column("want").to_pylist(), strict=True):
+        for doc, version, t, want in zip(*(part.column(c).to_pylist() for c in ("doc_id", "version")), texts, part.column("want").to_pylist(), strict=True):
             lines = (t or b"").lower().split(b"\n")
+            held: dict[int, list[bytes]] = {}
             for w in want:
-                words = lines[w["line"]].split() if w["line"] < len(lines) else []
+                if w["unit"] not in held:
+                    line = w["unit"] >> PIECE_BITS
+                    held.update(units(line, lines[line].split()) if line < len(lines) else ())
+                words = held.get(w["unit"], [])
                 joined = b" ".join(words)
                 if _line_hash(joined) != (w["h1"], w["h2"]):
                     continue
@@ -102,12 +145,12 @@ def _variants(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = np.flatnonzero(open_at)
                 cols[0].append(np.concatenate((sums[-1:], gone[p])).view(np.int64))
                 cols[1].append(np.concatenate(([-1], p)))
-                cols[2].append(np.full(len(p) + 1, doc))
-                cols[3].append(np.full(len(p) + 1, w["line"]))
+                for col, x in zip(cols[2:], (doc, version, w["unit"]), strict=True):
+                    col.append(np.full(len(p) + 1, x))
                 kept += [joined.decode(), *[None] * len(p)]
         if kept:
-            v, p, doc, line = map(np.concatenate, cols)
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(p, pa.int32()), pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(kept, pa.string())], names=["v", "p", "doc_id", "line", "text"])
+            v, p, *place = map(np.concatenate, cols)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(p, pa.int32()), *(pa.array(c, pa.int64()) for c in place), pa.array(kept, pa.string())], names=["v", "p", "doc_id", "version", "unit", "text"])
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -118,15 +161,26 @@ def within_one_word(a: Column, b: Column) -> Column:
     return (i == 0) | (rest(a, i + 1) == rest(b, i + 1)) | (rest(a, i + 1) == rest(b, i)) | (rest(a, i) == rest(b, i + 1))
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, kept_doc_id, kept_line, distance``: lines that go, and the earliest they repeat."""
-    texts = doc_text(docs).where("text is not null and doc_id is not null")
+def _chain_starts(near: DataFrame) -> DataFrame:
+    """``place, kept`` with ``kept`` followed to the unit that is near to no earlier one; rounds take turns with two tables."""
+    run = uuid.uuid4().hex
+    held = written(near, f"{run}-first")
+    for i in range(64):
+        on = held.select(F.col("place").alias("kept"), F.col("kept").alias("further"))
+        held = written(held.select("place", "kept").join(on, "kept", "left").select("place", F.coalesce("further", "kept").alias("kept"), F.col("further").isNotNull().alias("moved")), f"{run}-{i % 2}")
+        if held.where("moved").isEmpty():
+            break
+    return held.select("place", "kept")
+
+
+def duplicate_units(docs: DataFrame) -> DataFrame:
+    """``place, kept, distance``: units that go, and the first of what they repeat."""
+    texts = doc_text(docs).where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
     lines = written(line_table(texts))
-    place = F.struct("doc_id", "line")
+    place = F.struct("doc_id", "version", "unit")
     distinct = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("keys").alias("keys"), F.count("*").alias("n")))
     repeated = distinct.where("n > 1").select("h1", "h2", "first")
-    exact = lines.select("doc_id", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(place > F.col("first"))
-    exact = exact.select("doc_id", "line", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"), F.lit(0).alias("distance"))
+    exact = lines.select(place.alias("place"), "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("place") > F.col("first")).select("place", "first")
 
     halves = distinct.select("h1", "h2", "first", F.inline("keys"))
     shared = written(halves.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
@@ -134,30 +188,71 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         halves.join(shared, "key")
         .groupBy("first", "h1", "h2")
         .agg(F.collect_set("part").alias("parts"))
-        .groupBy(F.col("first.doc_id").alias("doc_id"))
-        .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2", "parts")).alias("want"))
+        .groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"))
+        .agg(F.collect_list(F.struct(F.col("first.unit").alias("unit"), "h1", "h2", "parts")).alias("want"))
     )
-    variants = written(texts.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_variants, VARIANTS))
+    variants = written(texts.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "want").mapInArrow(_variants, VARIANTS))
     by_place = variants.groupBy("v", "p").agg(F.min(place).alias("least"), F.count("*").alias("n"))
     full, less = F.min(F.when(F.col("p") < 0, F.col("least"))), F.min(F.when(F.col("p") >= 0, F.col("least")))
     by_key = by_place.groupBy("v").agg(full.alias("full"), less.alias("less"), F.sum("n").alias("all")).where("`all` > 1")
     groups = written(by_place.join(by_key, "v").select("v", "p", "least", "full", "less"))
     earlier = lambda c: F.when(F.col(c) < place, F.col(c))
     partner = F.when(F.col("p") >= 0, F.least(earlier("least"), earlier("full"))).otherwise(earlier("less"))
-    pairs = variants.join(groups, ["v", "p"]).select("doc_id", "line", partner.alias("kept")).where("kept is not null").groupBy("doc_id", "line").agg(F.min("kept").alias("kept"))
-    full_lines = variants.where("p < 0").select("doc_id", "line", F.split("text", " ").alias("words"))
-    other = full_lines.select(F.struct("doc_id", "line").alias("kept"), F.col("words").alias("kept_words"))
-    near = pairs.join(full_lines, ["doc_id", "line"]).join(other, "kept").where(within_one_word(F.col("words"), F.col("kept_words")))
-    near = near.select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"), F.lit(1).alias("distance"))
-    return exact.union(near)
+    pairs = variants.join(groups, ["v", "p"]).select(place.alias("place"), partner.alias("kept")).where("kept is not null").groupBy("place").agg(F.min("kept").alias("kept"))
+    whole = variants.where("p < 0").select(place.alias("place"), F.split("text", " ").alias("words")).dropDuplicates(["place"])
+    other = whole.select(F.col("place").alias("kept"), F.col("words").alias("kept_words"))
+    near = _chain_starts(pairs.join(whole, "place").join(other, "kept").where(within_one_word(F.col("words"), F.col("kept_words"))).select("place", "kept"))
+    starts = near.select(F.col("place").alias("first"), "kept")
+    exact = exact.join(starts, "first", "left").select("place", F.coalesce("kept", "first").alias("kept"), F.lit(0).alias("distance"))
+    return exact.union(near.select("place", "kept", F.lit(1)))
+
+
+def duplicate_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line, piece, kept_doc_id, kept_line, kept_piece, distance``: units that go, and the first of what they repeat.
+
+    ``piece``: null for a whole line. ``distance``: 0 if an earlier unit is equal, 1 if it differs by one word.
+    """
+    line = lambda c: F.shiftright(F.col(c), PIECE_BITS).cast("int")
+    piece = lambda c: F.nullif(F.col(c).bitwiseAND((1 << PIECE_BITS) - 1), F.lit(0)).cast("int") - 1
+    return duplicate_units(docs).select(
+        "place.doc_id", line("place.unit").alias("line"), piece("place.unit").alias("piece"),
+        F.col("kept.doc_id").alias("kept_doc_id"), line("kept.unit").alias("kept_line"), piece("kept.unit").alias("kept_piece"), "distance",
+    )
+
+
+def without_units(text: str, gone: set[int]) -> str:
+    """The text without some of its lines, or pieces of them with the white space behind."""
+    out = []
+    for i, x in enumerate(text.split("\n")):
+        if i << PIECE_BITS in gone:
+            continue
+        at = [m.start() for m in WORD.finditer(x)]
+        ends = cuts(x.encode().lower().split()) if len(at) > LONG else []
+        hit = [k for k in range(len(ends)) if (i << PIECE_BITS) + k + 1 in gone]
+        if hit and len(hit) == len(ends):
+            continue
+        for k in reversed(hit):
+            a = at[ends[k - 1]] if k else at[0]
+            x = x[:a] + x[at[ends[k]] :] if ends[k] < len(at) else x[:a].rstrip(WHITE)
+        out.append(x)
+    return "\n".join(out)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that go; other columns stay as they are."""
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("gone_of"), "gone")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return docs.join(gone, docs["doc_id"] == F.col("gone_of"), "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).drop("gone_of", "gone")
+    """``docs`` without the units that go; other columns stay as they are."""
+    gone = duplicate_units(docs).groupBy("place.doc_id", "place.version").agg(F.collect_set("place.unit").alias("units"))
+    same = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["version"])
+    joined = docs.join(gone, same, "left").select(*(docs[c] for c in docs.columns), gone["units"].alias(f"units_{uuid.uuid4().hex}"))
+    at = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = [t if u is None else without_units(t, set(u)) for t, u in zip(part.column(at).to_pylist(), part.columns[-1].to_pylist(), strict=True)]
+            columns = [*part.columns[:at], pa.array(texts, pa.string()), *part.columns[at + 1 : -1]]
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    docs_columns = docs.columns
+    return joined.mapInArrow(run, StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
