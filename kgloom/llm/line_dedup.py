@@ -1,9 +1,10 @@
 """Line de-duplication over the whole corpus by a deletion-neighbourhood join.
 
-Units are lines, white space and the case of A-Z left aside. A line of more than ``LONG`` words is cut into pieces at words that
+Units are lines, white space and the case of A-Z left aside, and pieces of lines of more than ``LONG`` words, cut at words that
 a hash picks, so that a passage that stands in different lines is cut alike in all of them. Blank lines are no units.
-A unit goes if an earlier one, by document id, text, line and piece, is equal or, where both have at least ``MIN_WORDS`` words,
-differs by one inserted, deleted or replaced word. Shorter lines go only if equal, as one word is much of what they say.
+A unit goes if an earlier one, by document id, text, line and piece, is equal or, where both are lines of at least ``MIN_WORDS`` words,
+differs by one inserted, deleted or replaced word. Shorter lines go only if equal, as one word is much of what they say,
+and so do pieces: a longer line with several changes loses the pieces between them.
 What a unit is near to may go itself; ``kept_*`` then name the unit at the start of that chain, which stays.
 
 Two units that differ by one word share their first or their last words up to the edit, so only units with a partner for
@@ -33,8 +34,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from kgloom.llm.common import WHITE, batches, doc_text, scan, written
 
 MIN_WORDS = 8
-#: A longer line is cut into pieces of MIN_WORDS words at least and twice that on average; MOST without a place to cut.
-LONG, MOST = 32, 40
+#: A longer line also has pieces, of LEAST words at least and about twice that on average; of MOST without a place to cut.
+LONG, LEAST, MOST = 48, 16, 80
 PIECE_BITS = 24
 WORD = re.compile(r"[^ \t-\r]+")
 BASE = 0x9E3779B97F4A7C15  # odd, for polynomial hashes modulo 2**64
@@ -45,15 +46,13 @@ VARIANTS = "v long, p int, doc_id long, version long, unit long, text string"
 
 
 def cuts(words: list[bytes]) -> list[int]:
-    """Ends of the pieces of a line."""
-    n = len(words)
+    """Ends of the pieces of a line; none for one that has no pieces."""
+    n, out, at = len(words), [], 0
     if n <= LONG:
-        return [n]
-    out, at = [], 0
-    while n - at >= 2 * MIN_WORDS:
-        end = at + MIN_WORDS
-        last = min(at + MOST, n - MIN_WORDS)
-        while end < last and crc32(words[end - 1]) & 7:
+        return out
+    while n - at >= 2 * LEAST:
+        end, last = at + LEAST, min(at + MOST, n - LEAST)
+        while end < last and crc32(words[end - 1]) & 15:
             end += 1
         out.append(end)
         at = end
@@ -61,56 +60,53 @@ def cuts(words: list[bytes]) -> list[int]:
 
 
 def units(line: int, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Number and words of a line's units: the line's number, and in the low bits 0, or the piece's number from 1."""
+    """Number and words of a line's units: the line's number, and in the low bits 0, or a piece's number from 1."""
+    yield line << PIECE_BITS, words
     ends = cuts(words)
-    if len(ends) == 1:
-        yield line << PIECE_BITS, words
-    else:
-        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            yield (line << PIECE_BITS) + k + 1, words[a:b]
+    for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True) if ends else ()):
+        yield (line << PIECE_BITS) + k + 1, words[a:b]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def half_keys(words: list[bytes]) -> list[tuple[int, int]]:
-    """Hashes of the first (part > 0) and the last (part < 0) words.
+def halves(n: int) -> list[int]:
+    """Of how many first and last words a line of ``n`` words has hashes.
 
     Their number is the same for lengths n and n + 1, but at multiples of eight, where both are taken. It's
     half of the shorter length at most, so an edit leaves one of the two whole.
     """
-    from xxhash import xxh64_intdigest as digest
-
-    n, out = len(words), []
-    for c in {4 * (n // 8), 4 * ((n - 1) // 8)} - {0}:
-        out.append((_signed(digest(b" ".join(words[:c]), 2 * c)), c))
-        out.append((_signed(digest(b" ".join(words[-c:]), 2 * c + 1)), -c))
-    return out
-
-
-def _line_hash(joined: bytes) -> tuple[int, int]:
-    from xxhash import xxh3_128_intdigest
-
-    x = xxh3_128_intdigest(joined)
-    return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
+    return sorted({4 * (n // 8), 4 * ((n - 1) // 8)} - {0}) if n >= MIN_WORDS else []
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """The units of ``doc_id, version, text``."""
+    """The units of ``doc_id, version, text``; keys: hashes of a line's first (part > 0) and last (part < 0) words."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = pa.list_(pa.struct([("key", pa.int64()), ("part", pa.int32())]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), key)
+        import numpy as np
+        from xxhash import xxh3_128_digest, xxh64_digest
+
         for part, texts in batches(parts):
-            out = []
-            for doc, version, t in zip(part.column("doc_id").to_pylist(), part.column("version").to_pylist(), texts, strict=True):
+            hashes, keys, ends, number, keyed, per_doc = [], [], [], [], [0], []
+            for t in texts:
+                start = len(number)
                 for i, x in enumerate((t or b"").lower().split(b"\n")):
-                    if words := x.split():
-                        # below MIN_WORDS there are no half keys, so such a line meets only its equals
-                        out += [(doc, version, u, *_line_hash(b" ".join(w)), [{"key": k, "part": c} for k, c in half_keys(w)]) for u, w in units(i, words)]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "version", "unit", "h1", "h2", "keys"])
+                    if not (words := x.split()):
+                        continue
+                    for u, w in units(i, words):
+                        number.append(u)
+                        hashes.append(xxh3_128_digest(b" ".join(w)))
+                        if not u & ((1 << PIECE_BITS) - 1):
+                            for c in halves(len(w)):
+                                keys += xxh64_digest(b" ".join(w[:c]), 2 * c), xxh64_digest(b" ".join(w[-c:]), 2 * c + 1)
+                                ends += c, -c
+                        keyed.append(len(keys))
+                per_doc.append(len(number) - start)
+            h = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
+            of = pa.array(np.repeat(np.arange(len(texts)), per_doc))
+            struct = pa.StructArray.from_arrays([pa.array(np.frombuffer(b"".join(keys), ">i8").astype(np.int64)), pa.array(ends, pa.int32())], names=["key", "part"])
+            lists = pa.ListArray.from_arrays(pa.array(keyed, pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(of), part.column("version").take(of), pa.array(number, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists],
+                names=["doc_id", "version", "unit", "h1", "h2", "keys"],
+            )
 
     return docs.mapInArrow(run, LINES)
 
@@ -118,6 +114,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 def _variants(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of VARIANTS for the wanted units: p = -1 is the unit itself, with its text."""
     import numpy as np
+    from xxhash import xxh3_128_digest
     from xxhash import xxh64_intdigest as digest
 
     for part, texts in batches(parts):
@@ -125,14 +122,11 @@ def _variants(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         for doc, version, t, want in zip(*(part.column(c).to_pylist() for c in ("doc_id", "version")), texts, part.column("want").to_pylist(), strict=True):
             lines = (t or b"").lower().split(b"\n")
-            held: dict[int, list[bytes]] = {}
             for w in want:
-                if w["unit"] not in held:
-                    line = w["unit"] >> PIECE_BITS
-                    held.update(units(line, lines[line].split()) if line < len(lines) else ())
-                words = held.get(w["unit"], [])
+                line = w["unit"] >> PIECE_BITS
+                words = lines[line].split() if line < len(lines) else []
                 joined = b" ".join(words)
-                if _line_hash(joined) != (w["h1"], w["h2"]):
+                if tuple(np.frombuffer(xxh3_128_digest(joined), ">i8").tolist()) != (w["h1"], w["h2"]):
                     continue
                 n = len(words)
                 with np.errstate(over="ignore"):
@@ -162,15 +156,16 @@ def within_one_word(a: Column, b: Column) -> Column:
 
 
 def _chain_starts(near: DataFrame) -> DataFrame:
-    """``place, kept`` with ``kept`` followed to the unit that is near to no earlier one; rounds take turns with two tables."""
+    """``place, kept, distance`` with ``kept`` followed to the unit that is near to no earlier one; rounds take turns with two tables."""
     run = uuid.uuid4().hex
     held = written(near, f"{run}-first")
     for i in range(64):
         on = held.select(F.col("place").alias("kept"), F.col("kept").alias("further"))
-        held = written(held.select("place", "kept").join(on, "kept", "left").select("place", F.coalesce("further", "kept").alias("kept"), F.col("further").isNotNull().alias("moved")), f"{run}-{i % 2}")
+        moved = held.select("place", "kept", "distance").join(on, "kept", "left")
+        held = written(moved.select("place", F.coalesce("further", "kept").alias("kept"), "distance", F.col("further").isNotNull().alias("moved")), f"{run}-{i % 2}")
         if held.where("moved").isEmpty():
             break
-    return held.select("place", "kept")
+    return held.select("place", "kept", "distance")
 
 
 def duplicate_units(docs: DataFrame) -> DataFrame:
@@ -178,18 +173,19 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
     texts = doc_text(docs).where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
     lines = written(line_table(texts))
     place = F.struct("doc_id", "version", "unit")
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("keys").alias("keys"), F.count("*").alias("n")))
+    of_line = F.min(F.when(F.size("keys") > 0, place))
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), of_line.alias("line"), F.max("keys").alias("keys"), F.count("*").alias("n")))
     repeated = distinct.where("n > 1").select("h1", "h2", "first")
     exact = lines.select(place.alias("place"), "h1", "h2").join(repeated, ["h1", "h2"]).where(F.col("place") > F.col("first")).select("place", "first")
 
-    halves = distinct.select("h1", "h2", "first", F.inline("keys"))
-    shared = written(halves.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
+    parts = distinct.where("line is not null").select("h1", "h2", "line", F.inline("keys"))
+    shared = written(parts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
     wanted = (
-        halves.join(shared, "key")
-        .groupBy("first", "h1", "h2")
+        parts.join(shared, "key")
+        .groupBy("line", "h1", "h2")
         .agg(F.collect_set("part").alias("parts"))
-        .groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"))
-        .agg(F.collect_list(F.struct(F.col("first.unit").alias("unit"), "h1", "h2", "parts")).alias("want"))
+        .groupBy(F.col("line.doc_id").alias("doc_id"), F.col("line.version").alias("version"))
+        .agg(F.collect_list(F.struct(F.col("line.unit").alias("unit"), "h1", "h2", "parts")).alias("want"))
     )
     variants = written(texts.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "want").mapInArrow(_variants, VARIANTS))
     by_place = variants.groupBy("v", "p").agg(F.min(place).alias("least"), F.count("*").alias("n"))
@@ -201,10 +197,13 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
     pairs = variants.join(groups, ["v", "p"]).select(place.alias("place"), partner.alias("kept")).where("kept is not null").groupBy("place").agg(F.min("kept").alias("kept"))
     whole = variants.where("p < 0").select(place.alias("place"), F.split("text", " ").alias("words")).dropDuplicates(["place"])
     other = whole.select(F.col("place").alias("kept"), F.col("words").alias("kept_words"))
-    near = _chain_starts(pairs.join(whole, "place").join(other, "kept").where(within_one_word(F.col("words"), F.col("kept_words"))).select("place", "kept"))
+    near = pairs.join(whole, "place").join(other, "kept").where(within_one_word(F.col("words"), F.col("kept_words"))).select("place", "kept", F.lit(1).alias("distance"))
+    # lines that equal an earlier piece are near to nothing else then, but others may be near to them
+    late = distinct.where("line > first").select(F.col("line").alias("place"), F.col("first").alias("kept"), F.lit(0).alias("distance"))
+    near = _chain_starts(near.join(late, "place", "left_anti").union(late))
     starts = near.select(F.col("place").alias("first"), "kept")
     exact = exact.join(starts, "first", "left").select("place", F.coalesce("kept", "first").alias("kept"), F.lit(0).alias("distance"))
-    return exact.union(near.select("place", "kept", F.lit(1)))
+    return exact.union(near.where("distance = 1"))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:

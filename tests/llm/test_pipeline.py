@@ -22,7 +22,7 @@ def stages(spark, tmp_path_factory):
     rows, items = [], [(i, line("en", 20)) for i in range(6)]
     for i in range(60):
         g = "de" if i % 5 == 3 else "en"
-        rows.append((i, "\n".join(line(g, r.randint(5, 45)) for _ in range(6)), g, "src", 1))
+        rows.append((i, "\n".join(line(g, r.choice((5, 20, 45, 90))) for _ in range(6)), g, "src", 1))
     text = lambda i: rows[i][1]
     rows += [
         (60, text(4), "en", "src", 1),
@@ -64,18 +64,19 @@ def test_lines(stages):
     for doc, t in sorted(set(pairs(before))):
         for i, x in enumerate(t.encode().lower().split(b"\n")):
             for u, w in line_dedup.units(i, x.split()) if x.split() else ():
-                if any(w == y or (min(len(w), len(y)) >= 8 and within_one(w, y)) for y in seen):
+                whole = u % (1 << line_dedup.PIECE_BITS) == 0
+                if any(w == y or (whole and is_line and min(len(w), len(y)) >= 8 and within_one(w, y)) for y, is_line in seen):
                     gone[doc, t].add(u)
-                seen.append(w)
+                seen.append((w, whole))
     want = []
     for doc, t in pairs(before):
         kept = []
         for i, x in enumerate(t.split("\n")):
             w = x.split()
-            of = [(u, len(p)) for u, p in line_dedup.units(i, [y.encode() for y in w])] if w else []
-            if of and {u for u, _ in of} <= gone[doc, t]:
+            line, *of = [(u, len(p)) for u, p in line_dedup.units(i, [y.encode() for y in w])] if w else [(-1, 0)]
+            if line[0] in gone[doc, t] or (of and {u for u, _ in of} <= gone[doc, t]):
                 continue
-            at, left = 0, []
+            at, left = 0, [] if of else w
             for u, n in of:
                 left += [] if u in gone[doc, t] else w[at : at + n]
                 at += n
