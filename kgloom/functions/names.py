@@ -1,6 +1,6 @@
 """Normal forms of names, as column expressions. Null counts as empty."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions import vocab
@@ -179,3 +179,17 @@ def short_description(c: Column, most_words: int = 18, most_chars: int = 140) ->
 
     raw = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     return bind(few_chars, bind(lambda x: few_words(x, F.split(x, " ")), bind(sentence, bind(shortest, raw))))
+
+
+def with_short_description(t: DataFrame, c: str, most_words: int = 18, most_chars: int = 140) -> DataFrame:
+    """``t`` with column ``c`` shortened as by ``short_description``, in steps that stay in generated code."""
+    v = F.col("_short")
+    parts = F.filter(F.transform(F.split(v, r"\s\|\s"), lambda p: F.trim(p)), lambda p: p != "")
+    least = F.get(F.sort_array(F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.alias("p")))), F.lit(0))["p"]
+    cut = F.regexp_replace(F.regexp_replace(F.substring(v, 1, most_chars), r" [^ ]*$", ""), "[,;:-]+$", "")
+    few = F.concat(F.regexp_replace(F.substring_index(v, " ", most_words), "[,;:-]+$", ""), F.lit("."))
+    x = t.withColumn("_short", F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
+    x = x.withColumn("_short", F.when(F.contains(v, F.lit(" | ")), F.coalesce(least, v)).otherwise(v))
+    x = x.withColumn("_first", F.regexp_extract(v, r"^(.*?[.!?])(?:\s|$)", 1)).withColumn("_short", F.when(F.col("_first") == "", v).otherwise(F.col("_first")))
+    x = x.withColumn("_short", F.when(F.length(v) - F.length(F.replace(v, F.lit(" "))) >= most_words, few).otherwise(v))
+    return x.withColumn(c, F.when(F.length(v) > most_chars, F.concat(cut, F.lit("."))).otherwise(v)).drop("_short", "_first")

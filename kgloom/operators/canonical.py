@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
 from kgloom.functions import vocab
+from kgloom.operators.named import with_ends
 
 
 def ends(t: DataFrame) -> DataFrame:
     """Both ends of each triplet: kind, name, canonical id, and what the triplet says."""
-    end = lambda a, e: F.struct(N.graph_type(F.col(f"{a}_type")).alias("entity_type"), N.text(F.col(f"{a}_node")).alias("name"), F.lit(e).alias("end"))
-    x = t.select("document_id", "seq", "description", F.inline(F.array(end("source", 0), end("destination", 1))))
-    return x.withColumn("canonical_id", N.canonical_id(F.col("entity_type"), F.col("name")))
+    x = with_ends(t, entity_type=lambda k, n: N.graph_type(k), name=lambda k, n: N.text(n), canonical_id=N.canonical_id)
+    end = lambda p, e: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in ("entity_type", "name", "canonical_id")], F.lit(e).alias("end"))
+    return x.select("document_id", "seq", "description", F.inline(F.array(end("s", 0), end("d", 1))))
 
 
 def nodes(t: DataFrame) -> DataFrame:
@@ -29,13 +30,9 @@ def nodes(t: DataFrame) -> DataFrame:
 
 def edges(t: DataFrame) -> DataFrame:
     """One row for each (source, RELATION, destination): first description and keywords that aren't empty, all documents."""
-    x = t.select(
-        N.graph_type(F.col("source_type")).alias("source_type"),
-        N.canonical_id(F.col("source_type"), F.col("source_node")).alias("source_id"),
-        N.relation_type(F.col("relationship")).alias("relationship"),
-        N.graph_type(F.col("destination_type")).alias("destination_type"),
-        N.canonical_id(F.col("destination_type"), F.col("destination_node")).alias("destination_id"),
-        "document_id", "seq", "description", "keywords",
+    x = with_ends(t, kind=lambda k, n: N.graph_type(k), id=N.canonical_id).select(
+        F.col("s_kind").alias("source_type"), F.col("s_id").alias("source_id"), N.relation_type(F.col("relationship")).alias("relationship"),
+        F.col("d_kind").alias("destination_type"), F.col("d_id").alias("destination_id"), "document_id", "seq", "description", "keywords",
     )
     filled = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col("seq"))), F.lit(""))
     out = x.groupBy("source_type", "source_id", "relationship", "destination_type", "destination_id")
@@ -47,6 +44,7 @@ def parent_hints(t: DataFrame) -> DataFrame:
     s, d = N.graph_type(F.col("source_type")), N.graph_type(F.col("destination_type"))
     rel = F.lower(N.text(F.col("relationship")))
     met = ((rel == "has_clause") & (s == "standard") & (d == "clause")) | (rel.isin("has_product", "produces") & (s == "company") & (d == "product")) | ((rel == "has_model") & (s == "product") & (d == "model"))
+    t = t.select("source_type", "source_node", "relationship", "destination_type", "destination_node").distinct()
     return t.where(met).select(d.alias("entity_type"), N.text(F.col("destination_node")).alias("name"), N.text(F.col("source_node")).alias("parent")).distinct()
 
 
@@ -84,8 +82,8 @@ def link_certifications(e: DataFrame) -> DataFrame:
 
 def evidence_ids(t: DataFrame) -> DataFrame:
     """Deterministic ids of provenance rows."""
-    parts = F.concat_ws("|", "document_id", F.lit("relationship"), N.canonical_id(F.col("source_type"), F.col("source_node")), F.lit(""), F.lit(""), N.relation_type(F.col("relationship")))
-    return t.select("seq", F.concat(F.lit("ev_"), F.substring(F.sha2(parts.cast("binary"), 256), 1, 24)).alias("evidence_id"))
+    parts = F.concat_ws("|", "document_id", F.lit("relationship"), "s_id", F.lit(""), F.lit(""), N.relation_type(F.col("relationship")))
+    return with_ends(t, id=N.canonical_id).select("seq", F.concat(F.lit("ev_"), F.substring(F.sha2(parts.cast("binary"), 256), 1, 24)).alias("evidence_id"))
 
 
 def absorb(e: DataFrame, renames: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import names as N
 from kgloom.functions import vocab
 from kgloom.operators.components import written
+from kgloom.operators.named import with_ends
 
 KEY = ["project_id", "source_type", "source_node", "relationship", "destination_type", "destination_node"]
 COLUMNS = ["project_id", "document_id", "seq", *KEY[1:], "description", "keywords"]
@@ -62,10 +63,9 @@ def from_relationships(r: DataFrame) -> DataFrame:
 
 def judge(t: DataFrame) -> DataFrame:
     """Triplets in canonical form, with ``verdict``: kept, flipped, defaulted, or why a triplet is rejected."""
-    s, d = N.text(F.col("source_node")), N.text(F.col("destination_node"))
-    x = t.select(
-        "project_id", "document_id", "seq", s.alias("s"), d.alias("d"), end_type(s, F.col("source_type")).alias("st"),
-        end_type(d, F.col("destination_type")).alias("dt"), relation_of(F.col("relationship")).alias("rel"), N.short_description(F.col("description")).alias("description"), N.text(F.col("keywords")).alias("keywords"),
+    x = with_ends(N.with_short_description(t, "description"), name=lambda k, n: N.text(n), kind=lambda k, n: end_type(N.text(n), k)).select(
+        "project_id", "document_id", "seq", F.col("s_name").alias("s"), F.col("d_name").alias("d"), F.col("s_kind").alias("st"), F.col("d_kind").alias("dt"),
+        relation_of(F.col("relationship")).alias("rel"), "description", N.text(F.col("keywords")).alias("keywords"),
     )
     known = F.col("rel").isin(*{r for _, r, _ in vocab.RULES})
     pair = lambda a, b: F.create_map(*[F.lit(v) for kv in PAIR_RELATION.items() for v in kv])[F.concat_ws("|", a, b)]

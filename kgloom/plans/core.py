@@ -43,6 +43,10 @@ def node_edge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return written(canonical.nodes(c)), written(canonical.edges(c))
 
 
+def edges_of(spark: SparkSession, d: str) -> DataFrame:
+    return written(canonical.edges(canon(spark, d)))
+
+
 def pages(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, adapters.PAGES_SPARK)
 
@@ -238,7 +242,7 @@ def kg_mentions(spark, d):
 
 @query(f"with {S.EDGES} select source_id, relationship, destination_id from edges where not (relationship = 'PARTY_ROLE_SUPPLIER' and (source_type = 'component' or destination_type = 'component'))")
 def kg_drop_disallowed(spark, d):
-    return canonical.drop_disallowed(node_edge(spark, d)[1]).select("source_id", "relationship", "destination_id")
+    return canonical.drop_disallowed(edges_of(spark, d)).select("source_id", "relationship", "destination_id")
 
 
 @query(f"""with {S.EDGES}, owner as (select source_id as owner, destination_id as product from edges where relationship = 'HAS_PRODUCT'), held as (
@@ -247,13 +251,13 @@ def kg_drop_disallowed(spark, d):
 select distinct m.destination_id as source_id, owner as destination_id from edges m join held on m.relationship = 'PARTY_ROLE_MANUFACTURER' and m.source_id = component where owner <> m.destination_id
   and not exists (select 1 from edges k where k.relationship = 'PARTY_ROLE_SUPPLIER' and k.source_id = m.destination_id and k.destination_id = owner)""")
 def kg_link_suppliers(spark, d):
-    return canonical.link_suppliers(node_edge(spark, d)[1])
+    return canonical.link_suppliers(edges_of(spark, d))
 
 
 @query(f"""with {S.EDGES} select distinct a.destination_id as source_id, b.destination_id from edges a join edges b on a.source_id = b.source_id where a.relationship = 'COMPLIES_WITH' and a.source_type = 'component' and b.relationship = 'HAS_CERTIFICATION' and b.source_type = 'component'
   and not exists (select 1 from edges k where k.relationship = 'HAS_CERTIFICATION' and k.source_type = 'standard' and k.source_id = a.destination_id and k.destination_id = b.destination_id)""")
 def kg_link_std_cert(spark, d):
-    return canonical.link_certifications(node_edge(spark, d)[1])
+    return canonical.link_certifications(edges_of(spark, d))
 
 
 @query(f"with {S.CANON} select seq, 'ev_' || sha256(document_id || '|relationship|' || {S.canonical_id(S.graph_type('source_type'), 'source_node')} || '|||' || upper(relationship))[1:24] as evidence_id from canon")
@@ -325,7 +329,7 @@ def q_graph_export(spark, d):
 
 @query(f"with {S.EDGES} select distinct canonical_id, d as document_id from (select source_id as canonical_id, unnest(document_ids) as d from edges union all select destination_id, unnest(document_ids) from edges)")
 def q_entity_documents(spark, d):
-    e = node_edge(spark, d)[1]
+    e = edges_of(spark, d)
     return e.select(F.explode(F.array("source_id", "destination_id")).alias("canonical_id"), "document_ids").select("canonical_id", F.explode("document_ids").alias("document_id")).distinct()
 
 
@@ -348,7 +352,7 @@ def g_top_degree(spark, d):
 
 @query(f"with {S.EDGES} select source_id, relationship, destination_id, cast(row_number() over (partition by least(source_id, destination_id), greatest(source_id, destination_id) order by source_id, relationship, destination_id) as int) as place, count(*) over (partition by least(source_id, destination_id), greatest(source_id, destination_id)) as pair_count from edges")
 def g_parallel(spark, d):
-    return graph.parallel(node_edge(spark, d)[1])
+    return graph.parallel(edges_of(spark, d))
 
 
 @query(f"with {S.EDGES} select source_id, relationship, destination_id from edges where source_id in (select canonical_id from nodes) and destination_id in (select canonical_id from nodes)")
@@ -384,7 +388,7 @@ LINE = "relationship in ('HAS_PRODUCT', 'HAS_MODEL', 'CONTAINS', 'COMPLIES_WITH'
 @query(f"""with recursive {S.EDGES}, e as (select distinct source_id, destination_id from edges where {LINE} and source_id <> destination_id), walk(id, depth) as (select id, 0 from (select source_id as id from e union select destination_id from e) union select e.destination_id, w.depth + 1 from walk w join e on e.source_id = w.id)
 select id, cast(max(depth) as int) as depth from walk group by 1""")
 def g_depth(spark, d):
-    return graph.depths(node_edge(spark, d)[1].where(LINE))
+    return graph.depths(edges_of(spark, d).where(LINE))
 
 
 # pages and chunks
@@ -419,7 +423,7 @@ def chunk_index_ids(spark, d):
     return chunks.index_ids(whole(spark, d))
 
 
-QUESTIONS = "select turn + conv_id * 1000 as query_id, lower(substr(text, 1, 80)) as query from {conversations} where role = 'user' and conv_id % 50 = 0"
+QUESTIONS = "select turn + conv_id * 1000 as query_id, lower(text) as query from {conversations} where role = 'user' and conv_id % 50 = 0"
 
 
 @query(rf"""with q as ({QUESTIONS.replace("{conversations}", "conversations")}), w as (select query_id, list_filter(list_distinct(string_split(trim(regexp_replace(query, '\s+', ' ', 'g')), ' ')), lambda x: x <> '') as ws from q), t as (select query_id, len(ws) as size, unnest(ws) as word from w),
