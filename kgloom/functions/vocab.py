@@ -99,3 +99,20 @@ LINEAGE_PATHS = {
 
 # tier of each type on display; others are 6
 TIERS = {"ul": 1, "company": 1, "location": 2, "certification": 2, "address": 3, "file_number": 3, "deliverable": 3, "product": 3, "volume": 4, "model": 4, "section": 5, "component": 6, "standard": 7, "test_plan": 7, "clause": 8, "test": 9}
+
+# fixed values: names of types in extraction responses, and the types that are known there
+EXTRACTION_ALIASES = {
+    "organization": "company", "org": "company", "manufacturer": "company", "supplier": "company", "customer": "company", "brand": "company",
+    "part": "component", "assembly": "component", "subassembly": "component", "bom": "component", "spec": "standard", "regulation": "standard",
+    "article": "clause", "cert": "certification", "testing": "test", "test_record": "test", "testrecord": "test", "filenumber": "file_number",
+    "testplan": "test_plan", "manufacturinglocation": "location", "manufacturing_location": "location", "ulsolutions": "ul", "ul_solutions": "ul",
+}
+EXTRACTION_TYPES = (
+    "ul", "applicant", "product", "model", "component", "standard", "clause", "certification", "test", "test_plan",
+    "file_number", "volume", "section", "deliverable", "company", "location", "address",
+)
+# fixed values: caps of one extraction response
+MOST_ENTITIES, MOST_RECORDS = 40, 80
+# fixed values: words that speak for a role
+APPLICANT_CUES = r"(?i)\b(applicants?|listee|certificate holder|party[\s_-]*role[\s_-]*applicant|filed(\s+an)?\s+application|submitted(\s+an)?\s+application|application\s+(for|to)\s+(ul|listing|certification))\b"
+MANUFACTURER_CUES = r"(?i)\b(manufactured\s+by|manufacturer(s)?(\s+of)?|manufactures|manufactured\s+at)\b"

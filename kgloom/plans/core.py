@@ -15,14 +15,22 @@ from kgloom.sources.adapters import fixture
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
+def query_into(queries: dict, oracles: dict):
+    """A decorator that registers a query under its name, with its SQL if there is one."""
+
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return keep
+
+    return query
+
+
+query = query_into(QUERIES, ORACLE_SQL)
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
