@@ -116,3 +116,20 @@ MOST_ENTITIES, MOST_RECORDS = 40, 80
 # fixed values: words that speak for a role
 APPLICANT_CUES = r"(?i)\b(applicants?|listee|certificate holder|party[\s_-]*role[\s_-]*applicant|filed(\s+an)?\s+application|submitted(\s+an)?\s+application|application\s+(for|to)\s+(ul|listing|certification))\b"
 MANUFACTURER_CUES = r"(?i)\b(manufactured\s+by|manufacturer(s)?(\s+of)?|manufactures|manufactured\s+at)\b"
+
+# fixed values: words of a question that name an intent, and what it looks for in the graph
+INTENT_TERMS = {
+    "company": ("company", "companies", "manufacturer", "supplier", "brand"),
+    "product": ("product", "products", "device", "devices"),
+    "model": ("model", "models", "variant", "variants"),
+    "component": ("component", "components", "part", "parts", "assembly"),
+    "standard": ("standard", "standards", "regulation", "regulations"),
+    "clause": ("clause", "clauses", "section", "sections", "requirement"),
+    "certification": ("certification", "certifications", "certificate", "certified"),
+    "test": ("test", "tests", "testing", "evaluation"),
+    "compliance": ("compliance", "compliant", "requirement", "requirements", "required", "applicable"),
+}
+INTENT_LABELS = {
+    "clause": ("Clause",), "standard": ("Standard",), "certification": ("Certification", "Certificate"), "test": ("Test", "TestPlan"), "component": ("Component", "Material"),
+    "company": ("Company",), "product": ("Product", "Model"), "model": ("Model", "Product", "Variant"), "compliance": ("Standard", "Certification", "Clause", "Test"),
+}

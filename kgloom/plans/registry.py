@@ -1,6 +1,6 @@
 """Every query on the given tables, with its SQL."""
 
-from kgloom.plans import core, extraction, more, repair, texts
+from kgloom.plans import core, extraction, more, repair, resolution, texts
 
-QUERIES = {**core.QUERIES, **more.QUERIES, **extraction.QUERIES, **texts.QUERIES, **repair.QUERIES}
-ORACLE_SQL = {**core.ORACLE_SQL, **more.ORACLE_SQL, **extraction.ORACLE_SQL, **texts.ORACLE_SQL, **repair.ORACLE_SQL}
+QUERIES = {**core.QUERIES, **more.QUERIES, **extraction.QUERIES, **texts.QUERIES, **repair.QUERIES, **resolution.QUERIES}
+ORACLE_SQL = {**core.ORACLE_SQL, **more.ORACLE_SQL, **extraction.ORACLE_SQL, **texts.ORACLE_SQL, **repair.ORACLE_SQL, **resolution.ORACLE_SQL}
