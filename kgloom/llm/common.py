@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,10 +45,22 @@ def annotate(docs: DataFrame, keep: list[str], schema: str, prepare: Callable[[]
     """The columns ``keep`` of ``docs`` and those of ``schema``, computed from ``text`` within one pass.
 
     ``prepare`` is called once in each task; what it gives is called with the texts of a batch (UTF-8, null: None) and
-    returns one array for each column of ``schema``. A kept column of the same name is replaced.
+    returns one array for each column of ``schema``. A kept column of the same name is replaced. Where texts are kept, only
+    what is computed comes back from Python.
     """
     new = StructType.fromDDL(schema)
     kept = [c for c in dict.fromkeys(keep) if c not in new.names]
+    if "text" in kept:
+
+        def told(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            compute = prepare()
+            for part in parts:
+                for _, texts in batches(iter([pa.RecordBatch.from_arrays([part], names=["text"])]), most_bytes):
+                    yield pa.StructArray.from_arrays(compute(texts), names=new.names)
+
+        name = f"told_{uuid.uuid4().hex}"
+        found = F.arrow_udf(told, new).asNondeterministic()
+        return docs.select(*kept, found(F.col("text").cast("string")).alias(name)).select(*kept, f"{name}.*")
     read = docs.select(*kept, *(["text"] if "text" not in kept else []))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

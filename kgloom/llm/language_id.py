@@ -27,7 +27,7 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 #: Grams of 1, 2 and 3 bytes have numbers of their own.
 ONE, TWO, GRAMS = 1 << 24, (1 << 24) + (1 << 16), (1 << 24) + (1 << 16) + 256
 #: A dense matrix of presences has no more cells, whatever the number of texts.
-DENSE = 1 << 24
+DENSE = 1 << 22
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, p
         m = model.value
         if not m:
             return lambda texts: (pa.array(["und"] * len(texts), pa.string()), pa.array(np.zeros(len(texts))))
-        index = np.full(GRAMS, len(m["grams"]), np.int32)  # grams of no landmark fall in a column that is not used
+        index = np.full(GRAMS, len(m["grams"]), np.int16 if len(m["grams"]) < 1 << 15 else np.int32)  # grams of no landmark fall in a column that is not used
         index[m["grams"]] = np.arange(len(m["grams"]))
         three, two, one = index[:ONE], index[ONE:TWO], index[TWO:]
         marks, width = np.ascontiguousarray(m["marks"].T), len(m["grams"]) + 1
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, p
             held = np.zeros((len(texts), width), np.uint8)
             flat = held.ravel()
             for feature in (three[code], two[code & 0xFFFF], one[code & 0xFF]):
-                flat[row + feature] = 1
+                np.put(flat, row + feature, 1)
             p = held[:, :-1].astype(np.float32)
             norm = np.sqrt(np.maximum(p.sum(axis=1, keepdims=True, dtype=np.float64), 1))
             return (_exact((p @ marks) / norm / m["size"]) @ m["weights"]) / 2.0**32 + m["bias"]

@@ -84,10 +84,11 @@ class WordCoder:
         return np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, cached_words: int = 1 << 19) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, cached_words: int = 1 << 19, batch_bytes: int = 8 << 20) -> DataFrame:
     """Pieces of at most ``size`` ids; ``ids``: little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins over it, so words are encoded once and looked up after.
+    ``cached_words`` and ``batch_bytes`` bound what a task holds; they don't change what it returns.
     """
     import public_tokenizers
 
@@ -100,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
         import numpy as np
 
         coder = WordCoder(spec.value, cached_words)
-        for part, texts in batches(parts):
+        for part, texts in batches(parts, batch_bytes):
             lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).cast(pa.string()))
             coded = lists.flatten().dictionary_encode()
             size_of, ids_of = coder(coded.dictionary.to_pylist())
@@ -174,8 +175,8 @@ def pack(pieces: DataFrame, size: int = 2048, shard: int = 16384) -> DataFrame:
     return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n))).groupBy("shard").applyInPandas(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048) -> DataFrame:
-    pieces = token_pieces(docs, tokenizer, size).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, batch_bytes: int = 8 << 20) -> DataFrame:
+    pieces = token_pieces(docs, tokenizer, size, batch_bytes=batch_bytes).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(written(pieces), size)
 
 
