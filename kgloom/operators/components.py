@@ -31,12 +31,14 @@ def written(df: DataFrame, name: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, hot: int = 50_000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, hot: int | None = None) -> DataFrame:
     """Inner join on ``key``, unique in ``right``, where many rows of ``left`` may have the same.
 
-    ``sizes``: ``key`` and ``n``, its number of rows in ``left``. Keys of more than ``hot`` rows are at most one in ``hot`` of
-    the left rows, so their rows of ``right`` are sent to where the left ones lie; the rest meet by shuffle.
+    ``sizes``: ``key`` and ``n``, its number of rows in ``left``. Keys of more than ``hot`` rows (1,000, and a 100,000th of the
+    left rows) are 100,000 at most, so their rows of ``right`` are sent to where the left ones lie; the rest meet by shuffle.
     """
+    if hot is None:
+        hot = max(1_000, (sizes.agg(F.sum("n")).head()[0] or 0) // 100_000)
     keys = F.broadcast(sizes.where(F.col("n") > hot).select(key))
     few = F.broadcast(right.join(keys, key, "left_semi"))
     return left.join(few, key).unionByName(left.join(keys, key, "left_anti").join(right, key))
