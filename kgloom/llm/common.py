@@ -30,7 +30,12 @@ def fold_of(doc_id: str, n: int) -> Column:
 
 
 def batches(parts: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Record batches of ``doc_id, text`` cut to about ``most_bytes`` of text, and the texts as UTF-8 (null: None)."""
+    """Record batches of ``doc_id, text`` cut to about ``most_bytes`` of text, and the texts as UTF-8 (null: None).
+
+    What earlier tasks of the worker have freed goes back to the system first.
+    """
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
     for part in parts:
         texts = part.column("text").cast(pa.binary())
         start, held = 0, 0

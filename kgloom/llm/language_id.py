@@ -151,7 +151,7 @@ def identify(docs: DataFrame, train: DataFrame, keep: list[str] | None = None, p
         index = np.full(GRAMS, len(m["grams"]), np.int16 if len(m["grams"]) < 1 << 15 else np.int32)  # grams of no landmark fall in a column that is not used
         index[m["grams"]] = np.arange(len(m["grams"]))
         three, two, one = index[:ONE], index[ONE:TWO], index[TWO:]
-        marks, width = np.ascontiguousarray(m["marks"].T), len(m["grams"]) + 1
+        marks, width = m["marks"].T, len(m["grams"]) + 1
         most = max(1, DENSE // width)
 
         def values(texts):

@@ -175,8 +175,8 @@ def pack(pieces: DataFrame, size: int = 2048, shard: int = 16384) -> DataFrame:
     return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n))).groupBy("shard").applyInPandas(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, batch_bytes: int = 8 << 20) -> DataFrame:
-    pieces = token_pieces(docs, tokenizer, size, batch_bytes=batch_bytes).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, **bounds: int) -> DataFrame:
+    pieces = token_pieces(docs, tokenizer, size, **bounds).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(written(pieces), size)
 
 
