@@ -51,8 +51,8 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences."""
-    # smaller batches, as workers still hold what earlier stages left in memory
-    return packing.pack_documents(docs, batch_bytes=2 << 20)
+    # smaller batches and word tables, as workers still hold what earlier stages left in memory
+    return packing.pack_documents(docs, batch_bytes=2 << 20, cached_words=1 << 17)
 
 
 STAGES = [
