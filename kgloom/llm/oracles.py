@@ -60,4 +60,28 @@ best as (select doc_id, max(c) as c from met group by 1)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, case when n_base > 0 then 1.0 else coalesce(c, 0.0) end as score
 from d left join base using (doc_id) left join labels using (doc_id) left join best using (doc_id)"""
 
-ORACLE_SQL = {"op1_quality_rules": OP1, "op5_benchmark_decontamination": OP5, "op9_license_scans": OP9}
+OP12 = rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_AZ.format("text")}, '[.,;:!?\x0A-\x0D]')) as piece from documents where text is not null),
+w as (select row_number() over () as id, lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as ws from p),
+t as (select lang, ws[i] as w1, ws[i + 1] as w2, ws[i + 2] as w3 from (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w)),
+f1 as materialized (select lang, w1, count(*) as n from t group by 1, 2),
+f2 as materialized (select lang, w1, w2, count(*) as a from t where w2 is not null group by 1, 2, 3 having count(*) >= 10),
+f3 as materialized (select lang, w1, w2, w3, count(*) as a from t where w3 is not null group by 1, 2, 3, 4 having count(*) >= 10),
+n as (select lang, cast(sum(n) as bigint) as n from f1 group by 1),
+s as (select f2.lang, f2.w1 || ' ' || f2.w2 as phrase, f2.a, 1 as cut, x.n as l, y.n as r from f2 join f1 x using (lang, w1) join f1 y on y.lang = f2.lang and y.w1 = f2.w2
+  left join (select lang, w1, w2, max(a) as most from (select lang, w1, w2, a from f3 union all select lang, w2, w3, a from f3) group by 1, 2, 3) m on m.lang = f2.lang and m.w1 = f2.w1 and m.w2 = f2.w2 where most is null or 100 * most < 50 * f2.a
+  union all select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.a, 1, x.n, y.a from f3 join f1 x using (lang, w1) join f2 y on y.lang = f3.lang and y.w1 = f3.w2 and y.w2 = f3.w3
+  union all select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.a, 2, x.a, y.n from f3 join f2 x using (lang, w1, w2) join f1 y on y.lang = f3.lang and y.w1 = f3.w3),
+c as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) as score from s),
+b as (select * from c qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n.n as n, score from b join n using (lang) qualify rank <= 2000"""
+
+OP13 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(cast(a.q as double[]), cast(b.q as double[])) as bigint) as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+n as (select p.*, other_id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as rank from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
+ORACLE_SQL = {"op13_hard_negatives": OP13, "op1_quality_rules": OP1, "op5_benchmark_decontamination": OP5, "op9_license_scans": OP9, "op12_phrase_collocations": OP12}

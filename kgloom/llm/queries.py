@@ -1,6 +1,8 @@
 """The registered queries of this folder and, where SQL can say it, their oracles."""
 
+from kgloom.llm.collocations import op12_phrase_collocations
 from kgloom.llm.decontaminate import op5_benchmark_decontamination
+from kgloom.llm.hard_negatives import op13_hard_negatives
 from kgloom.llm.language_id import op10_language_id
 from kgloom.llm.licenses import op9_license_scans
 from kgloom.llm.line_dedup import op4_line_dedup
@@ -23,5 +25,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_language_id": op10_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
