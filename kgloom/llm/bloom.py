@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_WORDS = 1 << 22
-#: Where a key's four bits stand in its word; the low bits of a key choose the word.
-SHIFTS = (40, 46, 52, 58)
+#: Where a key's four bits stand in its word; the low bits of a key choose the word. Smallest
+#: hashes have few high bits, so these are left out.
+SHIFTS = (24, 30, 36, 42)
 
 
 def bloom(keys: DataFrame, most_words: int = MOST_WORDS):
     """The filter of a written table's column ``key``, as 64-bit words: sixteen bits a key while they last."""
     import numpy as np
 
-    n = 1024
-    while n < most_words and n * 4 < keys.count():
+    n, most = 1024, keys.count()
+    while n < most_words and n * 4 < most:
         n *= 2
     bit = lambda s: f"shiftleft(1L, cast(shiftright(key, {s}) & 63 as int))"
     rows = keys.select((F.col("key").bitwiseAND(n - 1)).alias("word"), F.expr(" | ".join(map(bit, SHIFTS))).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()

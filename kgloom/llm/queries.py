@@ -12,6 +12,7 @@ from kgloom.llm.packing import op7_best_fit_packing
 from kgloom.llm.quality_rules import op1_quality_rules
 from kgloom.llm.secrets import op2_secret_scans
 from kgloom.llm.simhash import op6_simhash_near_dedup
+from kgloom.llm.suffix_arrays import op11_suffix_array_dedup
 from kgloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_language_id": op10_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
