@@ -160,13 +160,14 @@ class _Negatives(_Search):
 
         inside = np.zeros(len(low), bool)
         for p in self.anchors["positives"][a]:
-            inside |= (100 * high >= self.low * p["positive_score"] - 1) & (100 * low <= self.high * p["positive_score"] + 1)
+            slack = 1 + 1e-9 * abs(p["positive_score"])
+            inside |= (high >= self.low * p["positive_score"] / 100 - slack) & (low <= self.high * p["positive_score"] / 100 + slack)
         return np.flatnonzero(inside & self._others(a))
 
     def take(self, a, at, scores) -> None:
         others = self._others(a)[at]
         for n, p in enumerate(self.anchors["positives"][a]):
-            inside = others & (100 * scores >= self.low * p["positive_score"]) & (100 * scores <= self.high * p["positive_score"])
+            inside = others & (scores >= -(-self.low * p["positive_score"] // 100)) & (scores <= self.high * p["positive_score"] // 100)
             if inside.any():
                 self.keep((a, n), at[inside], scores[inside])
 
