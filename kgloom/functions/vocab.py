@@ -133,3 +133,28 @@ INTENT_LABELS = {
     "clause": ("Clause",), "standard": ("Standard",), "certification": ("Certification", "Certificate"), "test": ("Test", "TestPlan"), "component": ("Component", "Material"),
     "company": ("Company",), "product": ("Product", "Model"), "model": ("Model", "Product", "Variant"), "compliance": ("Standard", "Certification", "Clause", "Test"),
 }
+
+# fixed values: what a question's intents look for along trails: types of nodes, and relations that mark a way there
+TRAIL_TARGETS = {
+    "clause": (("clause",), ("HAS_CLAUSE", "COMPLIES_WITH", "SUBJECT_TO")),
+    "standard": (("standard",), ("COMPLIES_WITH", "SUBJECT_TO", "HAS_CLAUSE", "REQUIRES_TEST")),
+    "certification": (("certification", "certificate"), ("HAS_CERTIFICATION", "COMPLIES_WITH", "SUBJECT_TO")),
+    "test": (("test", "test_plan"), ("REQUIRES_TEST", "HAS_TEST_PLAN", "COMPLIES_WITH")),
+    "component": (("component", "material"), ("CONTAINS", "COMPLIES_WITH")),
+    "company": (("company",), ("PARTY_ROLE_APPLICANT", "PARTY_ROLE_MANUFACTURER", "PARTY_ROLE_SUPPLIER", "HAS_PRODUCT")),
+    "product": (("product", "model"), ("HAS_PRODUCT", "HAS_MODEL", "CONTAINS")),
+    "model": (("model", "product", "variant"), ("HAS_MODEL", "CONTAINS", "COMPLIES_WITH")),
+    "compliance": (("standard", "certification", "clause", "test"), ("COMPLIES_WITH", "SUBJECT_TO", "HAS_CERTIFICATION", "HAS_CLAUSE", "REQUIRES_TEST")),
+}
+# fixed values: relations that trails may use
+TRAIL_RELATIONS = (
+    "HAS_PRODUCT", "HAS_MODEL", "CONTAINS", "COMPLIES_WITH", "SUBJECT_TO", "REQUIRES_TEST", "HAS_CERTIFICATION", "HAS_TEST_PLAN", "HAS_FILE_NUMBER", "HAS_VOLUME",
+    "HAS_DELIVERABLE", "HAS_CLAUSE", "PARTY_ROLE_APPLICANT", "PARTY_ROLE_MANUFACTURER", "PARTY_ROLE_SUPPLIER", "HAS_LOCATION", "HAS_ADDRESS",
+)
+# fixed values: words of a question about relations, an intent of its own where questions are understood but no target of trails
+RELATION_TERMS = ("relationship", "relationships", "associated", "connected", "contain", "contains", "produces", "applies", "between")
+# fixed values: words of a question that are no keywords
+STOP_WORDS = (
+    "a", "about", "all", "an", "and", "are", "as", "associated", "at", "be", "between", "by", "can", "contain", "contains", "do", "does", "for", "from", "has", "have", "how",
+    "in", "information", "is", "it", "me", "of", "on", "present", "show", "that", "the", "this", "to", "what", "when", "where", "which", "why", "with",
+)
