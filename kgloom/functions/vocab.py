@@ -153,8 +153,15 @@ TRAIL_RELATIONS = (
 )
 # fixed values: words of a question about relations, an intent of its own where questions are understood but no target of trails
 RELATION_TERMS = ("relationship", "relationships", "associated", "connected", "contain", "contains", "produces", "applies", "between")
+#: Intents of a question in their order, that one included.
+UNDERSTOOD_TERMS = {k: v for k, v in INTENT_TERMS.items() if k != "compliance"} | {"relationships": RELATION_TERMS, "compliance": INTENT_TERMS["compliance"]}
 # fixed values: words of a question that are no keywords
 STOP_WORDS = (
     "a", "about", "all", "an", "and", "are", "as", "associated", "at", "be", "between", "by", "can", "contain", "contains", "do", "does", "for", "from", "has", "have", "how",
     "in", "information", "is", "it", "me", "of", "on", "present", "show", "that", "the", "this", "to", "what", "when", "where", "which", "why", "with",
 )
+
+# fixed values: words that tell models of one line apart
+VARIANT_MARKS = ("ultra", "plus", "pro", "max", "mini", "lite", "se", "fe", "edge", "note")
+# fixed values: bodies whose designations are no part numbers
+STANDARD_BODIES = ("ul", "iec", "iso", "ieee", "csa", "en", "ansi", "astm")

@@ -12,6 +12,7 @@ from kgloom.functions import vocab
 from kgloom.operators import extraction as X
 from kgloom.operators.components import connected_components
 from kgloom.operators.triplets import relation_of, type_of
+from kgloom.operators.variants import contained
 
 
 def buckets(entities: DataFrame) -> DataFrame:
@@ -23,14 +24,18 @@ def buckets(entities: DataFrame) -> DataFrame:
 
 
 def merged_texts(t: DataFrame, key: list[str], short: str, long: list[str]) -> DataFrame:
-    """One row for each key: the shortest filled text ``short`` (the latest of equals); ``long`` texts joined by bars, in order of
-    ``seq``, each unless what is there holds it already."""
+    """One row for each key: the shortest short form of the filled texts ``short``, the latest of equals; a text that meets no other, in the
+    first row, stays as it is. ``long`` texts are joined by bars, in order of ``seq``, each unless what is there holds it already."""
 
     def folded(c: str) -> Column:
         ordered = F.transform(F.array_sort(F.collect_list(F.struct(f"{c}_at", F.col(f"{c}_text").alias("t")))), lambda x: x["t"])
         return F.aggregate(ordered, F.lit(""), lambda a, x: F.when(a == "", x).when(F.contains(a, x), a).otherwise(F.concat(a, F.lit(" | "), x)))
 
-    out = t.groupBy(*key).agg(F.coalesce(F.min_by(short, F.when(F.trim(short) != "", F.struct(F.length(short), -F.col("seq"), F.col(short)))), F.lit("")).alias(short), F.min("seq").alias("seq"))
+    form, place = f"_{short}_form", F.struct("seq", F.coalesce(short, F.lit("")))
+    shaped = t.withColumn(form, N.short_description(F.col(short)))
+    least = F.min_by(form, F.when(F.col(form) != "", F.struct(F.length(form), -F.col("seq"), F.col(form))))
+    alone = (F.count_if(F.col(form) != "") == 1) & (F.min_by(form, place) != "")
+    out = shaped.groupBy(*key).agg(F.when(alone, F.min_by(short, place)).otherwise(F.coalesce(least, F.lit(""))).alias(short), F.min("seq").alias("seq"))
     for c in long:
         # each text once, where it is first, so that a group is no longer than its distinct texts
         once = t.where(F.trim(F.coalesce(c, F.lit(""))) != "").groupBy(*key, F.trim(c).alias(f"{c}_text")).agg(F.min("seq").alias(f"{c}_at"))
@@ -60,7 +65,7 @@ def standards(names: DataFrame) -> DataFrame:
     """``project_id, name, canonical`` of standards that are one: equal forms; equal number and bodies; or two and more bodies of
     which one set lies in the other. The longest name stands for all.
 
-    A standard with many bodies bears keys of all smaller sets of two and more; a key joins only if it is somebody's own.
+    Sets of one number meet by the rarest body of the smaller one, however many bodies a name has.
     """
     x = names.select("project_id", "name").distinct().withColumn("form", standard_form(F.col("name")))
     bodies = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_extract("form", rf"^(.*?)({NUMBER})(.*)$", 1), " "), lambda w: F.length(w).between(2, 5) & w.rlike(r"^\p{L}+$"))))
@@ -68,11 +73,9 @@ def standards(names: DataFrame) -> DataFrame:
     node = F.concat_ws("|", F.lit("n"), "project_id", "name")
     own = F.concat_ws("|", F.lit("o"), "project_id", "number", F.array_join("bodies", " "))
     good = (F.col("number") != "") & (F.size("bodies") > 0)
-    # all subsets by doubling: bodies are at most five letters each, and few
-    subsets = F.aggregate("bodies", F.array(F.array().cast("array<string>")), lambda a, b: F.concat(a, F.transform(a, lambda s: F.array_append(s, b))))
-    smaller = x.where(good & (F.size("bodies") > 2)).select(node.alias("a"), "project_id", "number", F.explode(F.filter(subsets, lambda s: (F.size(s) >= 2) & (F.size(s) < F.size("bodies")))).alias("s"))
     owned = x.where(good).select(node.alias("a"), own.alias("b"))
-    inside = smaller.select("a", F.concat_ws("|", F.lit("o"), "project_id", "number", F.array_join("s", " ")).alias("b")).join(owned.select("b").distinct(), "b", "left_semi").select("a", "b")
+    sets = x.where(good).select("project_id", "number", own.alias("id"), "bodies").distinct()
+    inside = contained(sets, ["project_id", "number"], "bodies").select(F.col("small").alias("a"), F.col("large").alias("b"))
     found = connected_components(x.select(node.alias("a"), F.concat_ws("|", F.lit("f"), "project_id", "form").alias("b")).union(owned).union(inside))
     member = x.select("project_id", "name", node.alias("node")).join(found, "node")
     best = member.groupBy("component").agg(F.min(F.struct((-F.length("name")).alias("n"), "name"))["name"].alias("canonical"))

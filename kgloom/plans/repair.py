@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import vocab
 from kgloom.operators import dedup as D
 from kgloom.operators import extraction as X
+from kgloom.operators import variants as V
 from kgloom.operators.components import written
 from kgloom.plans import core, extraction
 from kgloom.plans import sqltext as S
@@ -34,9 +35,10 @@ def dedup_bucket(spark, d):
 
 
 def _folded(t: str, key: str) -> str:
-    return f"""shortest as (select {key}, description, row_number() over (partition by {key} order by length(description), seq desc, description) as i from {t} where trim(description) <> ''), firsts as (select {key}, min(seq) as seq from {t} group by {key}),
+    return f"""shaped as (select {key}, seq, description, {S.short("description")} as form from {t}), firsts as (select {key}, min(seq) as seq, count(*) filter (form <> '') as filled, arg_min(description, (seq, description)) as first_text, arg_min(form, (seq, description)) as first_form from shaped group by {key}),
+shortest as (select {key}, form, row_number() over (partition by {key} order by length(form), seq desc, form) as i from shaped where form <> ''),
 kws as (select {key}, trim(keywords) as k, min(seq) as first_at from {t} where trim(keywords) <> '' group by {key}, trim(keywords)), folds as (select {key}, list_reduce(list(k order by first_at, k), lambda a, x: case when contains(a, x) then a else a || ' | ' || x end) as keywords from kws group by {key}),
-merged as (select {", ".join("f." + k.strip() for k in key.split(","))}, f.seq, coalesce(s.description, '') as description, coalesce(g.keywords, '') as keywords from firsts f left join (select * from shortest where i = 1) s using ({key}) left join folds g using ({key}))"""
+merged as (select {", ".join("f." + k.strip() for k in key.split(","))}, f.seq, case when filled = 1 and first_form <> '' then first_text else coalesce(s.form, '') end as description, coalesce(g.keywords, '') as keywords from firsts f left join (select * from shortest where i = 1) s using ({key}) left join folds g using ({key}))"""
 
 
 @query(f"with {S.RAW}, {_folded('raw', 'project_id, source_node')} select * from merged")
@@ -160,3 +162,41 @@ pair as (select distinct project_id, sk, dk from k where rel = 'has_model' and s
 select seq, source_node, destination_node, count(*) as n from k where not (st = 'model' and (project_id, sk) in (select (project_id, key) from gone)) and not (dt = 'model' and (project_id, dk) in (select (project_id, key) from gone)) group by all""")
 def rep_drop_named_models(spark, d):
     return D.without_named_models(spark.sql(NAMED, raw=core.raw(spark, d))).groupBy("seq", "source_node", "destination_node").agg(F.count("*").alias("n"))
+
+
+#: Models as documents write them, and components with part numbers in their names or evidence.
+MODELS = """select concat('run_', cast(p_partkey % 10 as string)) as project_id, p_partkey as seq, case p_partkey % 8 when 0 then concat(p_brand, ' ', p_name) when 1 then concat(p_brand, '  ', upper(p_name), ' 2021') when 2 then concat(p_name, ' ', p_brand, ' Gen ', cast(p_size % 3 as string))
+  when 3 then concat(p_brand, ' ', p_name, ' Pro') when 4 then concat(p_brand, ' ', p_name, ' ', cast(p_size as string), ' mm') when 5 then p_name when 6 then concat(p_brand, ' ', p_name, ' v', cast(p_size % 2 as string), ' 2022') else p_brand end as name from {part}"""
+OWNERS = """select concat('run_', cast(p_partkey % 10 as string)) as project_id, 'product' as source_type, p_brand as source_node, 'has_model' as relationship, 'model' as destination_type, concat(p_brand, ' ', p_name, case when p_size % 2 = 0 then ' Pro' else '' end) as destination_node from {part} where p_size % 5 = 0"""
+COMPONENTS = """select concat('run_', cast(p_partkey % 10 as string)) as project_id, p_partkey as seq, case p_partkey % 6 when 0 then concat('Battery ', p_name) when 1 then concat('battery  ', p_name, 's') when 2 then concat(p_type, ' pack BP-', cast(p_size as string)) when 3 then concat('BP-', cast(p_size as string), ' cell')
+  when 4 then concat(p_name, ' fuses') else concat(p_name, ' Fuse') end as name, case when p_partkey % 4 = 0 then concat('Part AB', cast(p_size as string), '/', cast(p_partkey % 7 as string), ' of IEC-60950') when p_partkey % 5 = 0 then concat('see bp-', cast(p_size as string)) else '' end as evidence,
+  case when p_partkey % 9 = 0 then 'spare' else '' end as component_description from {part}"""
+_words = lambda k: f"list_sort(list_distinct(list_filter(string_split({k}, ' '), lambda w: w <> '')))"
+_specs = {"year": r"\b20[0-9]{2}\b", "size": r"\b[0-9]+\s*(?:inch|in|cm|mm)\b", "generation": r"\b(?:gen(?:eration)?\s*[0-9]+|g[0-9]+)\b", "revision": r"\b(?:v[0-9]+|rev\s*[0-9]+|r[0-9]+)\b"}
+_same = lambda k: f"list_has_all(a.{k}, b.{k}) and list_has_all(b.{k}, a.{k})"
+
+
+@query(f"""with recursive m as (select project_id, seq, name, {S.key("name")} as key from ({adapters.as_sql(MODELS)})), parents as (select project_id, {S.key("destination_node")} as key, list(distinct {S.key("source_node")}) as owners from ({adapters.as_sql(OWNERS)}) group by 1, 2),
+k as (select x.*, coalesce(owners, []) as owners from (select distinct project_id, key, {_words("key")} as ws, {", ".join(f"list_distinct(regexp_extract_all(key, '{p}')) as {c}" for c, p in _specs.items())}, list_filter({_words("key")}, lambda w: w in ('ultra', 'plus', 'pro', 'max', 'mini', 'lite', 'se', 'fe', 'edge', 'note')) as marks from m) x left join parents using (project_id, key)),
+pairs as (select a.project_id, a.key as x, b.key as y from k a join k b on a.project_id = b.project_id and (a.key = b.key or (least(len(a.ws), len(b.ws)) >= 2 and (list_has_all(a.ws, b.ws) or list_has_all(b.ws, a.ws)) and {_same("marks")}
+  and {" and ".join(f"(len(a.{c}) = 0 or len(b.{c}) = 0 or ({_same(c)}))" for c in _specs)} and (len(a.owners) = 0 or len(b.owners) = 0 or list_has_any(a.owners, b.owners))))),
+reach(project_id, x, y) as (select project_id, x, y from pairs union select r.project_id, r.x, p.y from reach r join pairs p on p.project_id = r.project_id and p.x = r.y),
+named as (select r.project_id, r.x, m.name, row_number() over (partition by r.project_id, r.x order by len({_words("m.key")}) desc, length(m.name) desc, m.seq, m.name) as i from reach r join m on m.project_id = r.project_id and m.key = r.y)
+select distinct m.project_id, m.name, n.name as canonical from m join named n on n.project_id = m.project_id and n.x = m.key and n.i = 1""")
+def dedup_models(spark, d):
+    return V.model_variants(adapters.fixture(spark, d, MODELS), adapters.fixture(spark, d, OWNERS))
+
+
+_parts = lambda t: f"list_distinct(list_filter(list_transform(regexp_extract_all({t}, '(?i)\\b[A-Z]{{1,8}}[0-9]*[A-Z0-9]*[-/][A-Z0-9]+(?:[-/][A-Z0-9]+)*\\b'), lambda x: upper(x)), lambda x: regexp_matches(x, '[0-9]') and lower(regexp_extract(x, '^[^0-9/-]*')) not in ('ul', 'iec', 'iso', 'ieee', 'csa', 'en', 'ansi', 'astm')))"
+_singular = "case when length(w) < 4 or regexp_matches(w, '(ss|us|is|ics)$') then k when regexp_matches(w, 'ies$') and length(w) >= 5 then k[:-4] || 'y' when regexp_matches(w, '(ches|shes|xes|zes)$') then k[:-3] when regexp_matches(w, 's$') then k[:-2] else k end"
+
+
+@query(f"""with recursive c as (select *, trim(name || case when evidence <> '' then ' ' || evidence else '' end || case when component_description <> '' then ' ' || component_description else '' end) as body from ({adapters.as_sql(COMPONENTS)})),
+t as (select *, {_parts("body")} as parts, {S.key("body")} as k, regexp_extract({S.key("body")}, '[^ ]*$') as w from c), f as (select *, case when len(parts) > 0 then list_transform(parts, lambda p: 'p' || p) else ['k' || {_singular}] end as marks from t),
+e as (select project_id, seq, unnest(marks) as mark from f), pairs as (select distinct a.project_id, a.mark as x, b.mark as y from e a join e b using (project_id, seq)),
+reach(project_id, x, y) as (select * from pairs union select r.project_id, r.x, p.y from reach r join pairs p on p.project_id = r.project_id and p.x = r.y), class as (select project_id, x as mark, min(y) as class from reach group by 1, 2),
+g as (select f.*, class from f join class on class.project_id = f.project_id and class.mark = f.marks[1]), tw as (select *, len(list_filter(regexp_extract_all(name, '[A-Za-z]+'), lambda w: lower(w) not in ('rev', 'revision'))) as n from g),
+r as (select *, row_number() over (partition by project_id, class order by len({_parts("name || ' ' || evidence")}) > 0 and n > 0 and not regexp_matches(name, '(?i)^[A-Z]{{1,8}}[0-9]*[A-Z0-9]*[-/][A-Z0-9]*[0-9]') desc, n desc, length(name) desc, seq, name) as i from tw)
+select g.project_id, g.seq, g.name, r.name as canonical from g join r on r.project_id = g.project_id and r.class = g.class and r.i = 1""")
+def dedup_components(spark, d):
+    return V.component_variants(adapters.fixture(spark, d, COMPONENTS))

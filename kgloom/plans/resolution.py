@@ -155,19 +155,28 @@ def asked(spark, d):
 
 _tokens = "list_transform(regexp_extract_all(query, '[A-Za-z0-9][A-Za-z0-9._/-]*'), lambda t: trim(lower(t), './-_'))"
 _intents = "list_filter([" + ", ".join(f"case when list_has_any({_tokens}, [{S.quoted(v)}]) then '{k}' end" for k, v in vocab.INTENT_TERMS.items()) + "], lambda k: k is not null)"
+_relations = "list_concat(" + ", ".join(f"case when list_contains(intents, '{k}') then [{S.quoted(vocab.TRAIL_TARGETS[k][1])}] else [] end" for k in vocab.INTENT_TERMS) + ")"
 _labels = "list_concat(" + ", ".join(f"case when list_contains(intents, '{k}') then [{S.quoted(vocab.INTENT_LABELS[k])}] else [] end" for k in vocab.INTENT_TERMS) + ")"
 
 
-@query(f"with q as ({SQL_ASKED}), i as (select query_id, {_intents} as intents from q), l as (select query_id, intents, {_labels} as all_labels from i) select query_id, array_to_string(intents, ',') as intents, array_to_string(list_filter(all_labels, lambda x, i: list_position(all_labels, x) = i), ',') as labels from l")
+@query(f"with q as ({SQL_ASKED}), i as (select query_id, {_intents} as intents from q), l as (select query_id, intents, {_labels} as all_labels from i) select query_id, array_to_string(intents, ',') as intents, array_to_string(list_filter(all_labels, lambda x, i: list_position(all_labels, x) = i), ',') as labels, array_to_string(list_filter(rels, lambda x, i: list_position(rels, x) = i), ',') as relations from (select *, {_relations} as rels from l)")
 def q_intent_targets(spark, d):
-    return Q.targets(asked(spark, d)).select("query_id", F.array_join("intents", ",").alias("intents"), F.array_join("labels", ",").alias("labels"))
+    return Q.targets(asked(spark, d)).select("query_id", F.array_join("intents", ",").alias("intents"), F.array_join("labels", ",").alias("labels"), F.array_join("relations", ",").alias("relations"))
 
 
 _once = lambda a: f"list_filter({a}, lambda x, i: list_position(list_transform({a}, lambda y: lower(y)), lower(x)) = i)"
-
-
-@query(rf"""with q as ({SQL_ASKED}), n as (select query_id, {_intents} as intents, list_concat(list_filter(list_transform(regexp_extract_all(query, '["'']([^"'']{{2,120}})["'']', 1), lambda x: trim(x)), lambda x: x <> ''), list_filter(regexp_extract_all(query, '\b([A-Z][A-Za-z0-9._/-]*(?:\s+[A-Z0-9][A-Za-z0-9._/-]*)*)', 1), lambda x: lower(x) not in ('what', 'which', 'show', 'why', 'how'))) as n,
-  list_filter(regexp_extract_all(query, '[A-Za-z0-9][A-Za-z0-9._/-]*'), lambda t: length(trim(t, './-_')) >= 2 and trim(lower(t), './-_') not in ({S.quoted(sorted({w for v in vocab.INTENT_TERMS.values() for w in v}))}) and not regexp_full_match(t, '[0-9]+')) as p from q),
+# the words of each intent, and those that are no keywords, as questions must be understood; apart from the operator's own tables
+_understood = {
+    "company": "company companies manufacturer supplier brand", "product": "product products device devices", "model": "model models variant variants", "component": "component components part parts assembly",
+    "standard": "standard standards regulation regulations", "clause": "clause clauses section sections requirement", "certification": "certification certifications certificate certified", "test": "test tests testing evaluation",
+    "relationships": "relationship relationships associated connected contain contains produces applies between", "compliance": "compliance compliant requirement requirements required applicable",
+}
+_skipped = "a about all an and are as associated at be between by can contain contains do does for from has have how in information is it me of on present show that the this to what when where which why with"
+_understood_sql = "list_filter([" + ", ".join(f"case when list_has_any({_tokens}, string_split('{v}', ' ')) then '{k}' end" for k, v in _understood.items()) + "], lambda k: k is not null)"
+
+
+@query(rf"""with q as ({SQL_ASKED}), n as (select query_id, {_understood_sql} as intents, list_filter(list_transform(list_concat(regexp_extract_all(query, '["'']([^"'']{{2,120}})["'']', 1), list_filter(regexp_extract_all(query, '\b([A-Z][A-Za-z0-9._/-]*(?:\s+[A-Z0-9][A-Za-z0-9._/-]*)*)', 1), lambda x: lower(x) not in ('what', 'which', 'show', 'why', 'how'))), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as n,
+  list_filter(regexp_extract_all(query, '[A-Za-z0-9][A-Za-z0-9._/-]*'), lambda t: length(trim(t, './-_')) >= 2 and not list_contains(string_split('{" ".join(_understood.values())} {_skipped}', ' '), trim(lower(t), './-_')) and not regexp_full_match(trim(t, './-_'), '[0-9]+')) as p from q),
 m as (select *, ({_once("n")})[1:8] as names from n), k as (select *, list_concat(names, p) as c from m)
 select query_id, case when len(intents) = 0 then 'general_document_information' else array_to_string(intents, ',') end as intents, array_to_string(names, ';') as names, array_to_string(({_once("c")})[1:16], ';') as keywords from k""")
 def q_understand(spark, d):
