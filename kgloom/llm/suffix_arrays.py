@@ -7,7 +7,7 @@ suffixes are sorted: those smaller than their successor directly, the others ind
 bytes in rising order. Adjacent suffixes with a common prefix of ``WINDOW`` bytes are equal strings; what stands
 twice or more goes. The places found go back to the texts by the pieces' hashes.
 
-A hash with more than ``HOT`` pieces, of a passage in ever new surroundings say, has its strings dealt one by one, by a hash of
+A hash with more than ``HOT`` different pieces, of a passage in ever new surroundings say, has its strings dealt one by one, by a hash of
 all their bytes, so each different string stands once however often it occurs. Which hashes occur twice, and which are
 hot, tasks learn from two filters of bounded size; what these let through by mistake is sorted and found to be single.
 
@@ -126,6 +126,32 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _different(texts: DataFrame, warm) -> DataFrame:
+    """``key, n``: of hashes that occur often, their different pieces, long ones by length."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
+        power, seen = powers(2 * SEGMENT + WINDOW), set()
+        for _, found in batches(rows):
+            out = []
+            for some in segments(found):
+                values, first, last, *_ = runs(some, power)
+                ok = holds(warm.value, values)
+                joined = b"".join(s[2] for s in some) if ok.any() else b""
+                for key, a, b in zip(values[ok].tolist(), first[ok].tolist(), last[ok].tolist(), strict=True):
+                    piece = key, digest(joined[a : b + WINDOW], 1) - (1 << 63)
+                    if piece not in seen:
+                        seen.add(piece)
+                        out.append((*piece, 1 + (b - a) // WINDOW))
+                if len(seen) > 1 << 20:
+                    seen.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "ph", "n"])
+
+    return texts.select("text").mapInArrow(run, "key long, ph long, n long").dropDuplicates(["key", "ph"]).groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def _pieces(texts: DataFrame, shared, hot) -> DataFrame:
     """Rows of PIECES: pieces with their bytes (once a task) and counts; and where (``at``) in which texts they stand."""
 
@@ -335,7 +361,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     counts = written(_counted(texts).where("n > 1"))
     shared = spark.sparkContext.broadcast(bloom(counts.select("key")))
-    hot = spark.sparkContext.broadcast(bloom(counts.where(F.col("n") > HOT).select("key")))
+    many = counts.where(F.col("n") > HOT).select("key")
+    if not many.isEmpty():  # most of what is frequent are copies, which stand once
+        many = written(_different(texts, spark.sparkContext.broadcast(bloom(many))).where(F.col("n") > HOT).select("key"))
+    hot = spark.sparkContext.broadcast(bloom(many))
     rows = written(_pieces(texts, shared, hot))
     found = _repeats(rows.where("h1 is null").select("key", "ph", "bytes", "n"))
     found = written(found.select(F.struct("key", "ph").alias("piece"), "spans"))
