@@ -1,7 +1,9 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items.
+"""Benchmark decontamination: one Aho-Corasick automaton over all benchmark items.
 
-Each text is normalised once and scanned once; found windows are mapped back to words and to code points
-of the original. Nulls and empty texts have no words and no hits; items without a word or an id are
+Every window of 13 words of an item holds, whole, one of the grams of 7 words that stand end to end from the item's start. Only these
+grams are patterns, so the automaton grows with the benchmark's text and not with its windows. A gram that is found is
+followed to both sides, word by word, for as long as text and item agree; what reaches the length of a window is hit.
+Each text is normalised once and scanned once; hits are mapped back to words and to code points of the original. Nulls and empty texts have no words and no hits; items without a word or an id are
 ignored; equal windows of several items count for each; repeated document rows are judged each on its own;
 an empty benchmark hits nothing, and an empty table gives an empty result. Very long texts are scanned whole.
 """
@@ -25,28 +27,46 @@ HITS = "n_words long, n_hit long, items array<string>, runs array<struct<a:long,
 RUN = pa.list_(pa.struct([(k, pa.int64()) for k in ("a", "b", "start", "end")]))
 
 
-def window_table(rows: list[tuple[str, str]], window: int) -> dict[bytes, list[str]]:
-    """Every window of the items, with the ids of the items that hold it."""
+def item_texts(rows: list[tuple[str, str]]) -> dict[bytes, list[str]]:
+    """The items' words, joined by spaces, with the ids of the items that have them."""
     found: dict[bytes, set[str]] = {}
     for item, text in rows:
-        words = (text or "").encode().translate(TABLE).split()
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(b" ".join(words[i : i + window]), set()).add(item)
+        if words := (text or "").encode().translate(TABLE).split():
+            found.setdefault(b" ".join(words), set()).add(item)
     return {k: sorted(v) for k, v in found.items()}
 
 
-def _automaton(windows: dict[bytes, list[str]]):
+def _automaton(texts: list[bytes], window: int):
+    """Patterns of whole words; each has its number of words and where it stands: number of the text and first word (-1: the whole text)."""
     import ahocorasick
 
-    if not windows:
+    places: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+    gram = (window + 1) // 2
+    for k, text in enumerate(texts):
+        words = text.decode("latin-1").split(" ")
+        short = len(words) < window
+        for p in [0] if short else range(0, len(words) - gram + 1, gram):
+            some = words if short else words[p : p + gram]
+            places.setdefault(f" {' '.join(some)} ", (len(some), []))[1].append((k, -1 if short else p))
+    if not places:
         return None
     made = ahocorasick.Automaton()
-    for k, items in windows.items():
-        made.add_word(f" {k.decode('latin-1')} ", (len(k) + 2, k.count(b" ") + 1, items))
+    for pattern, value in places.items():
+        made.add_word(pattern, value)
     made.make_automaton()
     return made
 
 
+def _followed(words: list[bytes], item: list[bytes], start: int, end: int, p: int) -> tuple[int, int]:
+    """First and last word (exclusive) of what agrees with ``item`` around words ``start`` to ``end``, which stand there from ``p``."""
+    q = p + end - start
+    while start and p and words[start - 1] == item[p - 1]:
+        start, p = start - 1, p - 1
+    while end < len(words) and q < len(item) and words[end] == item[q]:
+        end, q = end + 1, q + 1
+    return start, end
+
+
 def _runs(hit) -> list[tuple[int, int]]:
     """First and last index of each run of true values."""
     import numpy as np
@@ -55,13 +75,14 @@ def _runs(hit) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def scanner(windows):
-    """What ``annotate`` asks for: hits of one part of the benchmark; ``windows``: its broadcast window table."""
+def scanner(items, window: int):
+    """What ``annotate`` asks for: hits of one part of the benchmark; ``items``: its broadcast texts."""
 
     def prepare():
         import numpy as np
 
-        made = _automaton(windows.value)
+        texts_of, ids_of = list(items.value), list(items.value.values())
+        made = _automaton(texts_of, window)
 
         def compute(texts):
             n_words, n_hit, items, runs = [], [], [], []
@@ -73,10 +94,24 @@ def scanner(windows):
                 if found:
                     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
                     ends = np.searchsorted(spaces, [e for e, _ in found])
-                    for end, (_, (_, n, ids)) in zip(ends.tolist(), found, strict=True):
-                        hit[end - n : end] = True
-                        of.update(ids)
-                at = [m.span() for m in WORD.finditer(t.decode())] if found else []
+                    reached: dict[tuple[int, int], int] = {}  # by text and by how far it is moved against the document
+                    split: dict[int, list[bytes]] = {}
+                    for end, (_, (n, places)) in zip(ends.tolist(), found, strict=True):
+                        for k, p in places:
+                            a, b = end - n, end
+                            if p >= 0:
+                                if reached.get((k, a - p), 0) >= end:
+                                    continue
+                                if k not in split:
+                                    split[k] = texts_of[k].split(b" ")
+                                moved = k, a - p
+                                a, b = _followed(w, split[k], a, b, p)
+                                reached[moved] = b
+                                if b - a < window:
+                                    continue
+                            hit[a:b] = True
+                            of.update(ids_of[k])
+                at = [m.span() for m in WORD.finditer(t.decode())] if hit.any() else []
                 n_words.append(len(w))
                 n_hit.append(int(hit.sum()))
                 items.append(sorted(of))
@@ -100,7 +135,7 @@ def _merged(runs: Column) -> Column:
     return F.aggregate(F.array_sort(runs), none, add)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 13, shard_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 13, shard_bytes: int = 4 << 20) -> DataFrame:
     """Per document row, beside the columns ``keep`` (doc_id): words, words within benchmark windows, the items, hit spans in code points.
 
     The benchmark is measured first; one larger than ``shard_bytes`` of text is cut by a hash of the item
@@ -115,8 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
     def scanned(texts: DataFrame, kept: list[str], k: int) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        windows = spark.sparkContext.broadcast(window_table([tuple(r) for r in part.collect()], window))
-        return annotate(texts, kept, HITS, scanner(windows))
+        return annotate(texts, kept, HITS, scanner(spark.sparkContext.broadcast(item_texts([tuple(r) for r in part.collect()])), window))
 
     if n == 1:
         found = scanned(docs, keep, 0)

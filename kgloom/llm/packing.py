@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
-Nulls and empty texts are the single end id. Only documents longer than a sequence are cut. Repeated rows
+Nulls and empty texts are the single end id. Rows without an id are packed like others. Only documents longer than a sequence are cut. Repeated rows
 are packed each on its own; an empty table packs to nothing. Ties in length go by id and piece. Very long texts are
 encoded whole, their words looked up in batches.
 """
@@ -160,8 +160,8 @@ def sum_of_squares(lengths: list[int], size: int, frugal: bool = True) -> list[t
 def pack(pieces: DataFrame, size: int = 2048, shard: int = 16384) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt by hash to shards of about ``shard`` rows, however many there are, and each shard is
-    packed in one task, longest first; what a shard leaves open at its end is under one part in a hundred.
+    Pieces are dealt by a hash of the row, its place in the table included, to shards of about ``shard`` rows, however many
+    there are and whatever their ids, and each shard is packed in one task, longest first; what a shard leaves open at its end is under one part in a hundred.
     """
     n = max(1, -(-pieces.count() // shard))
 
@@ -172,7 +172,7 @@ def pack(pieces: DataFrame, size: int = 2048, shard: int = 16384) -> DataFrame:
         x["offset"] = [o for _, o in placed]
         return x[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n))).groupBy("shard").applyInPandas(run, PACKED)
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(n))).groupBy("shard").applyInPandas(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, **bounds: int) -> DataFrame:
