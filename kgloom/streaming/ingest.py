@@ -1,21 +1,23 @@
 """Triplet files merged into the edge table as they arrive.
 
-Each micro-batch reads the version before it and writes its own, named by the batch: a replayed batch writes the same
-version again, so nothing counts twice. What is first is decided by ``seq``, so the order of files doesn't matter.
+Each micro-batch is an upsert under the number of the batch: only partitions with its keys are rewritten, and a replayed batch counts once. What is
+first is decided by ``seq``, so the order of files doesn't matter.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
+from kgloom.operators import canonical
 from kgloom.operators.triplets import canonicalize
+from kgloom.sources.sink import upsert
 
 KEY = ["source_type", "source_id", "relationship", "destination_type", "destination_id"]
 
 
 def partial_edges(t: DataFrame) -> DataFrame:
-    """Edges of a batch in a form that can be merged: the first description with its ``seq``, documents, and a count."""
-    x = canonicalize(t).select(
+    """Edges of a batch of canonical triplets in a form that can be merged: the first description with its ``seq``, documents, and a count."""
+    x = t.select(
         N.graph_type(F.col("source_type")).alias("source_type"),
         N.canonical_id(F.col("source_type"), F.col("source_node")).alias("source_id"),
         N.relation_type(F.col("relationship")).alias("relationship"),
@@ -32,24 +34,25 @@ def merged(x: DataFrame) -> DataFrame:
     return x.groupBy(*KEY).agg(F.min("first").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("document_ids")))).alias("document_ids"), F.sum("evidence_count").alias("evidence_count"))
 
 
+def partial_nodes(t: DataFrame) -> DataFrame:
+    """Nodes of a batch of canonical triplets in a form that can be merged: the first name with its place, all names, and a count."""
+    x = canonical.ends(t).select("entity_type", "canonical_id", F.struct((F.col("seq") * 2 + F.col("end")).alias("at"), "name").alias("first"), F.array("name").alias("names"), F.lit(1).cast("long").alias("mentions"))
+    return merged_nodes(x)
+
+
+def merged_nodes(x: DataFrame) -> DataFrame:
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("names"))))
+    return x.groupBy("entity_type", "canonical_id").agg(F.min("first").alias("first"), names.alias("names"), F.sum("mentions").alias("mentions"))
+
+
 def ingest(spark: SparkSession, files: str, schema, out: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """Merges all triplet files (Parquet) that are there and not yet merged; returns the newest edge table."""
+    """Merges all triplet files (Parquet) that are there and not yet merged; returns the edge table."""
+    found = []
 
     def step(batch: DataFrame, k: int) -> None:
-        new = partial_edges(batch)
-        if k > 0:
-            new = merged(batch.sparkSession.read.parquet(f"{out}/v{k - 1}").unionByName(new))
-        new.write.mode("overwrite").parquet(f"{out}/v{k}")
+        found.append(upsert(out, partial_edges(canonicalize(batch)), KEY, lambda old, new: merged(old.unionByName(new)), k))
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(files)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/v{newest(spark, out)}")
-
-
-def newest(spark: SparkSession, out: str) -> int:
-    """Number of the newest version that is wholly written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in files.listStatus(path)]
-    return max(int(p.getName()[1:]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return found[-1] if found else spark.read.parquet(out)
