@@ -32,7 +32,7 @@ from kgloom.operators.components import spread_join
 WINDOW, GRAM = 200, 32
 HOT = 1 << 14
 #: Bytes of text that are hashed at once, and of a block of pieces.
-SEGMENT, BLOCK = 1 << 18, 2 << 20
+SEGMENT, BLOCK = 1 << 18, 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, for polynomial hashes modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = 0xD6E8FEB86659FD93
