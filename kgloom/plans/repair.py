@@ -132,13 +132,14 @@ def rep_product_model(spark, d):
     return D.product_models(core.raw(spark, d))
 
 
-FEW_MODELS = "relationship not in ('has_model', 'linked to') or seq % 60 = 0"
+#: Products of most projects have one model each, whatever the documents call it.
+ONE_MODEL = "select project_id, document_id, seq, source_type, source_node, relationship, destination_type, case when source_type = 'product' and destination_type = 'model' and project_id < 'run_7' then concat(source_node, ' base') else destination_node end as destination_node, description, keywords from {raw}"
 
 
-@query(f"""with {K.replace("from raw)", "from raw where " + FEW_MODELS + ")")}, one as (select project_id, sk as product, min(dk) as model from (select distinct project_id, sk, dk from k where st = 'product' and rel = 'has_model' and dt = 'model') group by 1, 2 having count(*) = 1)
+@query(f"""with {K.replace("from raw)", "from (" + ONE_MODEL.replace("{raw}", "raw") + ") few)")}, one as (select project_id, sk as product, min(dk) as model from (select distinct project_id, sk, dk from k where st = 'product' and rel = 'has_model' and dt = 'model') group by 1, 2 having count(*) = 1)
 select distinct k.project_id, model, dk as component from k join one on one.project_id = k.project_id and one.product = k.sk where st = 'product' and rel = 'contains' and dt = 'component' and (k.project_id, model, dk) not in (select (project_id, sk, dk) from k where st = 'model' and rel = 'contains' and dt = 'component')""")
 def rep_model_component(spark, d):
-    return D.model_components(core.raw(spark, d).where(FEW_MODELS))
+    return D.model_components(spark.sql(ONE_MODEL, raw=core.raw(spark, d)))
 
 
 @query(f"""with recursive {K}, links as (select distinct project_id, sk as a, dk as b from k union select distinct project_id, dk, sk from k), start as (select 'run_' || (p_partkey % 10) as project_id, {S.key("p_brand")} as key from part where p_partkey < 6),

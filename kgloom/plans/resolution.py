@@ -183,7 +183,7 @@ def q_understand(spark, d):
     return Q.understood(asked(spark, d)).select("query_id", F.array_join("intents", ",").alias("intents"), F.array_join("names", ";").alias("names"), F.array_join("keywords", ";").alias("keywords"))
 
 
-NAMES_ASKED = "select p_size as query_id, case p_size % 3 when 0 then p_brand when 1 then upper(p_brand) else p_type end as name from (select distinct p_size, p_brand, p_type from {part} where p_size % 4 = 1)"
+NAMES_ASKED = "select p_size as query_id, case p_size % 3 when 0 then p_brand when 1 then upper(p_brand) else p_type end as name from (select distinct p_size, p_brand, p_type from {part})"
 
 
 @query(f"""with {S.NODES}, q as (select distinct query_id, lower(trim(name)) as t from ({NAMES_ASKED.replace("{part}", "part")})), h as (select query_id, canonical_id, case when lower(name) = t then 0 when entity_type in ('product', 'model', 'company') then 1 else 2 end as rank, -length(t) as n from nodes join q on contains(lower(name), t)),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
-from kgloom.operators import dedup, graph, questions, variants
+from kgloom.operators import chunks, dedup, graph, questions, variants
 
 
 def groups(rows, key):
@@ -95,3 +95,24 @@ def test_depths(spark, n):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(n)] + [("n000", "n003"), ("x", "y"), ("y", "x"), ("y", "z"), ("w", "w"), ("w", "n060")]
     got = {r.id: r.depth for r in graph.depths(spark.createDataFrame(edges, "source_id string, destination_id string")).collect()}
     assert got == {f"n{i:03}": i for i in range(n + 1)} | {"x": None, "y": None, "z": None, "w": 0}
+
+
+def test_page_ranges_against_plain_code(spark):
+    r = random.Random(7)
+    make = lambda n: " ".join(r.choice("red Blue green sea  of fox ox".split(" ")) for _ in range(n))
+    sections = [(d, p, make(r.randint(1, 9))) for d in range(8) for p in range(6)]
+    pages = [(d, p, make(r.randint(0, 5)) if r.random() > 0.1 else None) for d in range(7) for p in range(1, 8)]
+    low = lambda t: " ".join((t or "").lower().split())
+    expected = {}
+    for d, p, s in sections:
+        s, fits, every = low(s), [], []
+        for e, n, t in pages:
+            t = low(t)
+            if e == d and t:
+                every.append(n)
+                if t in s or s in t or len(set(t.split()) & set(s.split())) / len(set(t.split())) >= 0.45:
+                    fits.append(n)
+        if every:
+            expected[d, p] = min(fits or every), max(fits or every)
+    got = chunks.page_ranges(spark.createDataFrame(sections, "document_id long, pos int, text string"), spark.createDataFrame(pages, "document_id long, page_number int, text string"))
+    assert {(x.document_id, x.pos): (x.first_page, x.last_page) for x in got.collect()} == expected
