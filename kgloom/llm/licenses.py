@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.llm.decontaminate import TABLE
 from kgloom.llm.common import bind, scan, written
 
 #: Label and opening words of well-known licenses.
@@ -66,11 +67,12 @@ def _literal(words: list[str]) -> Column:
 def find_licenses(docs: DataFrame, templates: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """Per row: doc_id, n_words, places (base phrases), found (template number, label, block, containment).
 
-    ``templates``: a reference table of ``label, text``, numbered in their order; without one, TEMPLATES.
+    ``templates``: a reference table of ``label, text``, numbered in their order; without one, TEMPLATES. Their texts are cut into words by the
+    same rule as documents; one without a word is never met.
     """
     spark = docs.sparkSession
     given = [(r.label, r.text) for r in templates.select("label", "text").sort("label", "text").collect()] if templates else list(TEMPLATES)
-    given = [(label, sorted(set(t.split()))) for label, t in given]
+    given = [(label, sorted({w.decode() for w in (t or "").encode().translate(TABLE).split()})) for label, t in given]
     need = [max(1, math.ceil(threshold * len(s))) for _, s in given]
     vocabulary = sorted({w for _, s in given for w in s})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

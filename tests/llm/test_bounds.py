@@ -7,7 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm import decontaminate, packing
+from kgloom.llm import decontaminate, licenses, packing
 
 
 def test_grams_find_every_window(spark):
@@ -75,3 +75,11 @@ def test_texts_beyond_a_batch(spark, size):
     n = len(text.split())
     assert {(r.doc_id, r.n_words) for r in got} == {(1, n), (2, 1), (3, n)} and all(r.n_hit > 0.99 * n for r in got if r.doc_id != 2)
     assert {(r.doc_id) for r in got if r.n_hit == 0} == {2}
+
+
+def test_templates_are_cut_like_texts(spark):
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy."
+    docs = spark.createDataFrame([(1, text), (2, text.upper()), (3, "Nothing of that kind."), (None, None)], "doc_id long, text string")
+    templates = spark.createDataFrame([("grant", text), ("blank", " .. "), ("none", None)], "label string, text string")
+    got = {r.doc_id: r.found for r in licenses.find_licenses(docs, templates).collect()}
+    assert [x.label for x in got[1]] == [x.label for x in got[2]] == ["grant"] and not got[3] and not got[None]
