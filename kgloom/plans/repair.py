@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import vocab
 from kgloom.operators import dedup as D
 from kgloom.operators import extraction as X
+from kgloom.operators import products as P
 from kgloom.operators import variants as V
 from kgloom.operators.components import written
 from kgloom.plans import core, extraction
@@ -201,3 +202,24 @@ r as (select *, row_number() over (partition by project_id, class order by len({
 select g.project_id, g.seq, g.name, r.name as canonical from g join r on r.project_id = g.project_id and r.class = g.class and r.i = 1""")
 def dedup_components(spark, d):
     return V.component_variants(adapters.fixture(spark, d, COMPONENTS))
+
+
+#: Products with an alias and the file they are from, and what users ask for.
+PRODUCTS = """select concat('run_', cast(p_partkey % 10 as string)) as project_id, p_partkey as seq, case p_partkey % 4 when 0 then concat(p_brand, ' ', p_name) when 1 then concat(p_name, ' ', cast(p_size as string)) when 2 then concat(upper(p_brand), ' ', p_name, ' pro') else p_brand end as name,
+  case when p_partkey % 3 = 0 then concat(p_name, ' ', p_type) end as alias, concat(replace(p_name, ' ', '_'), '_', cast(p_size as string), '.v1.pdf') as source_file from {part}"""
+TARGETS = """select concat('run_', cast(p_partkey % 10 as string)) as project_id, p_name as target from {part} union select concat('run_', cast(p_partkey % 10 as string)), lower(p_brand) from {part} union select concat('run_', cast(p_partkey % 10 as string)), concat(p_name, ' ', p_type, ' case') from {part}
+union select concat('run_', cast(p_partkey % 10 as string)), concat('the ', p_type, ' ', p_name) from {part} union select concat('run_', cast(p_partkey % 10 as string)), concat(p_name, ' ', cast(p_size as string), ' v1') from {part}"""
+_run = lambda x: f"trim(regexp_replace({S.key(x)}, ' +', ' ', 'g'))"
+
+
+@query(f"""with p as (select * from ({adapters.as_sql(PRODUCTS)})), t as (select distinct * from ({adapters.as_sql(TARGETS)})), named as (select project_id, seq, name, 0 as pos, name as alias from p union all select project_id, seq, name, 1, alias from p where alias is not null),
+al as (select project_id, alias, arg_max(name, seq) as product, min((seq, pos)) as place from named group by 1, 2), fo as (select project_id, {S.key("alias")} as form, arg_min(product, place) as product from al group by 1, 2),
+x as (select t.project_id, t.target, coalesce(al.product, fo.product) as product from t left join al on al.project_id = t.project_id and al.alias = t.target left join fo on fo.project_id = t.project_id and fo.form = {S.key("t.target")}),
+n as (select project_id, seq, name, {_run("n")} as k from (select project_id, seq, name, unnest([name, alias, replace(regexp_replace(source_file, '[.][^.]*$', ''), '_', ' ')]) as n from p) where n is not null),
+met as (select distinct x.project_id, x.target, n.seq, n.name, {_run("x.target")} as tk from x join n on n.project_id = x.project_id and x.product is null and n.k <> '' and (contains(' ' || n.k || ' ', ' ' || {_run("x.target")} || ' ') or contains(' ' || {_run("x.target")} || ' ', ' ' || n.k || ' '))),
+f as (select * from met qualify row_number() over (partition by project_id, target, {S.key("name")} order by seq, name) = 1),
+b as (select * from f qualify row_number() over (partition by project_id, target order by abs(len(string_split({_run("name")}, ' ')) - len(string_split(tk, ' '))), length(name), seq, name) = 1)
+select x.project_id, x.target, coalesce(x.product, b.name) as product from x left join b using (project_id, target)""")
+def prod_resolve_target(spark, d):
+    p = adapters.fixture(spark, d, PRODUCTS).withColumn("aliases", F.array_compact(F.array("alias")))
+    return P.resolved_targets(p, adapters.fixture(spark, d, TARGETS))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
-from kgloom.operators import chunks, dedup, graph, questions, variants
+from kgloom.operators import chunks, dedup, graph, products, questions, variants
 
 
 def groups(rows, key):
@@ -116,3 +116,17 @@ def test_page_ranges_against_plain_code(spark):
             expected[d, p] = min(fits or every), max(fits or every)
     got = chunks.page_ranges(spark.createDataFrame(sections, "document_id long, pos int, text string"), spark.createDataFrame(pages, "document_id long, page_number int, text string"))
     assert {(x.document_id, x.pos): (x.first_page, x.last_page) for x in got.collect()} == expected
+
+
+def test_resolved_targets(spark):
+    rows = [
+        ("p", 1, "iPhone 16", ["phone"], "iphone_16_manual.pdf"), ("p", 2, "iPhone 16 Pro", None, None), ("p", 3, "MacBook Air (13-inch, M4, 2025)", ["MacBook Air", ""], "mba.pdf"), ("p", 4, "Air", [], ""),
+        ("p", 5, "Galaxy Tab", [], "sm_x200_report.v2.pdf"), ("q", 1, "Other", [], None), ("p", 6, " ", ["blank"], None), ("p", 7, "IPHONE 16", [], None),
+    ]
+    products_ = spark.createDataFrame(rows, "project_id string, seq long, name string, aliases array<string>, source_file string")
+    asked = ["iPhone 16", "iphone-16", "iPhone 16 Pro Max", "MacBook Air", "macbook", "sm x200", "nothing", "16 pro", "", None, "blank", "the iphone 16"]
+    got = {r.target: r.product for r in products.resolved_targets(products_, spark.createDataFrame([("p", a) for a in asked], "project_id string, target string")).collect()}
+    assert got == {
+        "iPhone 16": "iPhone 16", "iphone-16": "iPhone 16", "iPhone 16 Pro Max": "iPhone 16 Pro", "MacBook Air": "MacBook Air (13-inch, M4, 2025)", "macbook": "MacBook Air (13-inch, M4, 2025)",
+        "sm x200": "Galaxy Tab", "nothing": None, "16 pro": "iPhone 16 Pro", "blank": None, "the iphone 16": "iPhone 16",
+    }
