@@ -31,11 +31,17 @@ def with_ends(t: DataFrame, **values: Callable[[Column, Column], Column]) -> Dat
 def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``names`` (low, …) joined with the ``texts`` (text) that they contain.
 
-    A name meets a text by the text's first three characters (fewer if it has no more), found anywhere in the name; what
-    meets is then verified. Names without any such start don't get to the join.
+    A text meets names by the rarest of its three-character strings, counted over the names, so what many names share brings nobody
+    together; texts of one or two characters meet by themselves. What meets is then verified. A text with a string that no name has is dropped at once.
     """
-    asked = written(texts.select("text", F.substring("text", 1, 3).alias("start")).where("text <> ''").distinct())
-    starts = small(written(asked.select("start").distinct()))
-    cuts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))), lambda i: F.array(*[F.substring("low", i, F.lit(n)) for n in (1, 2, 3)]))))
-    met = names.withColumn("start", F.explode(cuts)).join(starts, "start", "left_semi").join(small(asked), "start")
-    return met.where(F.contains("low", "text")).drop("start")
+    asked = texts.select("text").where("text <> ''").distinct()
+    cut = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    grams = written(asked.select("text", F.explode(F.when(F.length("text") < 3, F.array("text")).otherwise(F.array_distinct(cut("text", 3)))).alias("start")))
+    sought = small(written(grams.select("start").distinct()))
+    few = grams.where("length(start) < 3").isEmpty()
+    every = F.array_distinct(cut("low", 3) if few else F.flatten(F.array(*[cut("low", n) for n in (1, 2, 3)])))
+    met = names.withColumn("start", F.explode(every)).join(sought, "start", "left_semi")
+    often = small(written(met.groupBy("start").agg(F.count("*").alias("n"))))
+    rarest = grams.join(often, "start", "left").groupBy("text").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("start", F.struct("n", "start")).alias("start"))
+    chosen = small(written(rarest.where("missing = 0").select("text", "start")))
+    return names.withColumn("start", F.explode(every)).join(chosen, "start").where(F.contains("low", "text")).drop("start")
