@@ -248,11 +248,6 @@ def kg_mentions(spark, d):
     return canonical.mentions(canon(spark, d))
 
 
-@query(f"with {S.EDGES} select source_id, relationship, destination_id from edges where not (relationship = 'PARTY_ROLE_SUPPLIER' and (source_type = 'component' or destination_type = 'component'))")
-def kg_drop_disallowed(spark, d):
-    return canonical.drop_disallowed(edges_of(spark, d)).select("source_id", "relationship", "destination_id")
-
-
 @query(f"""with {S.EDGES}, owner as (select source_id as owner, destination_id as product from edges where relationship = 'HAS_PRODUCT'), held as (
   select owner, e.destination_id as component from owner join edges e on e.relationship = 'CONTAINS' and e.source_id = product union
   select owner, e.destination_id from owner join edges m on m.relationship = 'HAS_MODEL' and m.source_id = product join edges e on e.relationship = 'CONTAINS' and e.source_id = m.destination_id)
@@ -273,11 +268,6 @@ def kg_evidence_id(spark, d):
     return canonical.evidence_ids(canon(spark, d))
 
 
-@query()
-def kg_collapse_companies(spark, d):
-    return canonical.company_clusters(canonical.nodes(canon(spark, d)))
-
-
 @query()
 def kg_absorb(spark, d):
     n, e = node_edge(spark, d)
@@ -330,11 +320,6 @@ def q_counts(spark, d):
     return n.groupBy(F.col("entity_type").alias("kind")).agg(F.count("*").alias("n")).union(e.groupBy("relationship").agg(F.count("*")))
 
 
-@query(f"with {S.NODES} select entity_type, name, canonical_id from nodes order by entity_type, name, canonical_id limit 2000")
-def q_graph_export(spark, d):
-    return canonical.nodes(canon(spark, d)).select("entity_type", "name", "canonical_id").orderBy("entity_type", "name", "canonical_id").limit(2000)
-
-
 @query(f"with {S.EDGES} select distinct canonical_id, d as document_id from (select source_id as canonical_id, unnest(document_ids) as d from edges union all select destination_id, unnest(document_ids) from edges)")
 def q_entity_documents(spark, d):
     e = edges_of(spark, d)
@@ -363,11 +348,6 @@ def g_parallel(spark, d):
     return graph.parallel(edges_of(spark, d))
 
 
-@query(f"with {S.EDGES} select source_id, relationship, destination_id from edges where source_id in (select canonical_id from nodes) and destination_id in (select canonical_id from nodes)")
-def g_clean_edges(spark, d):
-    return graph.clean_edges(*node_edge(spark, d)).select("source_id", "relationship", "destination_id")
-
-
 @query(f"with {S.EDGES} select source_type, destination_type, count(*) as n from edges where {S.case(vocab.TIERS, 'source_type', '6')} <= 7 and {S.case(vocab.TIERS, 'destination_type', '6')} <= 7 group by 1, 2")
 def g_type_pairs(spark, d):
     return graph.type_pairs(*node_edge(spark, d), 7)

@@ -94,6 +94,30 @@ def kg_collapse_by_parent(spark, d):
     return R.same_under_parent(children, t.select("canonical_id", "parent_id").distinct())
 
 
+#: Models of brands under names that are variants of each other, and what they contain.
+TWINS = """select concat('product_', lower(replace(p_brand, '#', ''))) as parent, concat('model_', cast(p_partkey as string)) as id, case p_partkey % 6 when 0 then p_name when 1 then concat(upper(p_name), ' systems') when 2 then concat(p_type, ' ', p_name) when 3 then concat(p_name, ' Group Ltd.') when 4 then p_type else concat(p_name, ' ', cast(p_size as string)) end as name,
+  concat('component_', lower(p_type)) as part from {part}"""
+
+
+def twins(spark, d):
+    t = adapters.fixture(spark, d, TWINS)
+    nodes = t.select(F.lit("model").alias("entity_type"), F.col("id").alias("canonical_id"), "name", F.array().cast("array<string>").alias("aliases"))
+    nodes = nodes.union(t.select(F.lit("product"), "parent", F.col("parent").alias("name"), F.array().cast("array<string>")).distinct())
+    edge = lambda a, r, b: t.select(F.col(a).alias("source_id"), F.lit(r).alias("relationship"), F.col(b).alias("destination_id"))
+    return nodes, edge("parent", "HAS_MODEL", "id").union(edge("id", "CONTAINS", "part"))
+
+
+@query(f"""with recursive t as ({adapters.as_sql(TWINS)}), {core.EQUIVALENT.replace(core.PAIRS, "pairs as (select a.id as x_id, b.id as y_id, a.name as left_name, b.name as right_name from t a join t b on a.parent = b.parent)").replace("*, list_filter", "*, list_filter", 1)},
+same as (select distinct x_id, y_id from judged where len(x) > 0 and len(y) > 0 and (x = y or firms or (len(es) >= 2 and len(es) < len(el) and el[len(el) - len(es) + 1:] = es))),
+reach(x_id, y_id) as (select x_id, y_id from same union select r.x_id, s.y_id from reach r join same s on s.x_id = r.y_id), keep as (select x_id as id, arg_min(t.id, (-length(t.name), t.id)) as keep_id from reach join t on t.id = y_id group by 1),
+m as (select t.*, coalesce(keep_id, t.id) as kept from t left join keep using (id))
+select 'node' as kind, kept as a, any_value(k.name) as b, coalesce(array_to_string(list_sort(list_distinct(list(m.name) filter (m.name <> k.name))), ';'), '') as c from m join (select id, name from t) k on k.id = kept group by 2 union all select distinct 'node', parent, parent, '' from t
+union all select distinct 'edge', parent, 'HAS_MODEL', kept from m union all select distinct 'edge', kept, 'CONTAINS', part from m""")
+def kg_collapse_under_parent(spark, d):
+    n, e = R.collapse_under_parent(*twins(spark, d), "model", "HAS_MODEL")
+    return n.select(F.lit("node").alias("kind"), F.col("canonical_id").alias("a"), F.col("name").alias("b"), F.array_join("aliases", ";").alias("c")).union(e.select(F.lit("edge"), "source_id", "relationship", "destination_id"))
+
+
 SITES = "select case when n_nationkey % 2 = 0 then 'location' else 'manufacturing_location' end as entity_type, case when n_nationkey % 3 = 0 then lower(r_name) when n_nationkey % 3 = 1 then r_name else n_name end as name, n_nationkey as k from {nation} join {region} on n_regionkey = r_regionkey"
 SITE_ID = "concat(entity_type, '_', lower(replace(name, ' ', '_')))"
 

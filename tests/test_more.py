@@ -120,3 +120,13 @@ def test_large_components_are_spread(spark):
     right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
     sizes = left.groupBy("k").agg(F.count("*").alias("n"))
     assert spread_join(left, right, "k", sizes, 33).count() == left.join(right, "k").count() == 67
+
+
+def test_equivalent_children_of_one_parent_are_one(spark):
+    rows = [("model", "m1", "Box One", ["B1"]), ("model", "m2", "BOX one", []), ("model", "m3", "Acme Box One", []), ("model", "m4", "Box One", []), ("model", "m5", "Lid", []), ("model", "m6", "", []), ("product", "p", "P", []), ("product", "q", "Q", [])]
+    nodes = spark.createDataFrame(rows, "entity_type string, canonical_id string, name string, aliases array<string>")
+    edges = [("p", "HAS_MODEL", m) for m in ("m1", "m2", "m3", "m5", "m6")] + [("q", "HAS_MODEL", "m4"), ("m1", "CONTAINS", "c"), ("m2", "CONTAINS", "c"), ("m2", "LIKE", "m1"), ("m4", "CONTAINS", "c")]
+    n, e = resolution.collapse_under_parent(nodes, spark.createDataFrame(edges, "source_id string, relationship string, destination_id string"), "model", "HAS_MODEL")
+    got = {r.canonical_id: (r.name, r.aliases) for r in n.collect()}
+    assert got["m3"] == ("Acme Box One", ["B1", "BOX one", "Box One"]) and got["m4"] == ("Box One", []) and set(got) == {"m3", "m4", "m5", "m6", "p", "q"}
+    assert sorted(map(tuple, e.collect())) == [("m3", "CONTAINS", "c"), ("m4", "CONTAINS", "c"), ("p", "HAS_MODEL", "m3"), ("p", "HAS_MODEL", "m5"), ("p", "HAS_MODEL", "m6"), ("q", "HAS_MODEL", "m4")]
