@@ -50,6 +50,12 @@ def norm_company(c: Column) -> Column:
     return F.when(text(c) == "", "").when(is_root(c), "ul solutions").otherwise(norm_entity(out))
 
 
+def company_core(c: Column) -> Column:
+    """The normal form without legal forms at its end; empty if there is nothing else."""
+    spaced = F.trim(F.regexp_replace(norm_key(c), r"\s+", " "))
+    return F.regexp_replace(spaced, rf"(?:(?:^| )(?:{'|'.join(vocab.CORE_SUFFIXES)}))+$", "")
+
+
 def norm_standard(c: Column) -> Column:
     return norm_entity(F.regexp_replace(text(c), r"(?i)\b([a-z]{2,4})[\s\-]*(\d)", "$1 $2"))
 

@@ -117,6 +117,29 @@ MOST_ENTITIES, MOST_RECORDS = 40, 80
 APPLICANT_CUES = r"(?i)\b(applicants?|listee|certificate holder|party[\s_-]*role[\s_-]*applicant|filed(\s+an)?\s+application|submitted(\s+an)?\s+application|application\s+(for|to)\s+(ul|listing|certification))\b"
 MANUFACTURER_CUES = r"(?i)\b(manufactured\s+by|manufacturer(s)?(\s+of)?|manufactures|manufactured\s+at)\b"
 
+# fixed values: single words that are no company, beginnings of standards' numbers, what ends the name in a rights line
+UNNAMED_WORDS = (
+    "all", "this", "these", "the", "our", "its", "their", "documentation", "privacy", "terms", "support", "introduction", "contents", "copyright", "india", "united",
+    "international", "institute", "standard", "safety",
+)
+NUMBERED_BODIES = r"(?i)^(?:ul|iec|iso|csa|en|ieee|ansi|un|astm)\s*[0-9]"
+RIGHTS = r"(?i)(?:\s+all rights reserved|\s+privacy policy|\s+terms of use).*$"
+# fixed values: legal forms that a firm's name may have at its end in a text
+_FORM = r"(?:Inc|Incorporated|Corp|Corporation|Co|Company|Ltd|Limited|LLC|LLP|PLC|GmbH|AG|SA|SAS|BV|NV|Oy|AB|KK|Pty)\.?"
+_FIRM = r"[A-Z][A-Za-z0-9&'’\-]+"
+#: Phrases that name a firm, as (kind, flags, phrase with the name as its group, what must follow).
+FIRM_CUES = (
+    ("copyright", "i", rf"copyright\s*(?:©|\(c\)|&copy;)?\s*(?:\d{{4}}\s*[-–—]\s*)?(?:\d{{4}}[^\S\n]+)?({_FIRM}(?:[^\S\n]+{_FIRM}|[^\S\n]+{_FORM}){{0,6}})", r"[^\S\n]*\.|[^\S\n]+all rights reserved|\s*$"),
+    ("testing_by", "i", rf"testing conducted by[^\S\n]+({_FIRM}(?:[^\S\n]+{_FORM})?)", ""),
+    ("products", "", rf"\b({_FIRM}(?:[^\S\n]+{_FORM})?)[^\S\n]+products\b", ""),
+    ("support", "", rf"\b({_FIRM})[^\S\n]+Support[^\S\n]*\(", ""),
+)
+# fixed values: legal forms that don't tell firms apart
+CORE_SUFFIXES = (
+    "incorporated", "corporation", "limited", "gmbh", "pllc", "pvt ltd", "pty ltd", "s a s", "s a", "llc", "llp", "pty", "plc", "corp", "inc", "ltd", "pvt", "lp", "nv", "ag",
+    "bv", "oy", "ab", "kk", "co", "sa", "sas",
+)
+
 # fixed values: words of a question that name an intent, and what it looks for in the graph
 INTENT_TERMS = {
     "company": ("company", "companies", "manufacturer", "supplier", "brand"),

@@ -119,8 +119,17 @@ def sections(responses: DataFrame) -> DataFrame:
     return x.select(*ID, "pos", F.trim(F.coalesce(text, F.lit(""))).alias("text")).where("text <> ''")
 
 
+def clean_company(c: Column) -> Column:
+    """A name as written, without what a rights line adds, marks at its ends, and a last ``and``."""
+    clean = F.btrim(F.regexp_replace(F.regexp_replace(N.text(c), vocab.RIGHTS, ""), r"\s+", " "), F.lit(" ,.;:|-"))
+    return F.btrim(F.regexp_replace(clean, r"(?i)\s+and$", ""), F.lit(" ,.;:"))
+
+
 def plausible_company(name: Column) -> Column:
-    """Not the root, no standard's number, no generic or weak word alone."""
-    clean = F.btrim(F.regexp_replace(N.text(name), r"\s+", " "), F.lit(" ,.;:|-"))
-    standard = clean.rlike(r"(?i)^(iec|iso|en|ul|ansi|csa|ieee|astm)[\s-]*[0-9]")
-    return (F.length(clean) >= 2) & ~N.is_root(clean) & ~standard & ~N.norm_company(clean).isin("ul", "ul solutions") & ~N.is_generic_org(clean)
+    """Not the root, no standard's number, no generic or weak word alone, no word that names nobody."""
+
+    def test(clean):
+        unnamed = F.lower(clean).isin(*vocab.UNNAMED_WORDS)
+        return (F.length(clean) >= 2) & ~N.is_root(clean) & ~clean.rlike(vocab.NUMBERED_BODIES) & ~N.norm_company(clean).isin("ul", "ul solutions") & ~unnamed & ~N.is_generic_org(clean)
+
+    return N.bind(test, clean_company(name))

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.functions import names as N
 from kgloom.operators.components import written
 
 #: A table of so many rows at most is sent to every executor; a larger one meets its rows by shuffle.
@@ -35,7 +36,9 @@ def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
     together; texts of one or two characters meet by themselves. What meets is then verified. A text with a string that no name has is dropped at once.
     """
     asked = texts.select("text").where("text <> ''").distinct()
-    cut = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    # by characters once, as to find a place in a string of many bytes takes as long as it is
+    pieces = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.lit(n)), ""))
+    cut = lambda c, n: N.bind(lambda x: pieces(x, n), F.split(c, ""))
     grams = written(asked.select("text", F.explode(F.when(F.length("text") < 3, F.array("text")).otherwise(F.array_distinct(cut("text", 3)))).alias("start")))
     sought = small(written(grams.select("start").distinct()))
     few = grams.where("length(start) < 3").isEmpty()

@@ -119,12 +119,9 @@ def ext_role_cues(spark, d):
     return adapters.read(spark, d, "documents").select("doc_id", text.rlike(vocab.APPLICANT_CUES).alias("applicant"), text.rlike(vocab.MANUFACTURER_CUES).alias("manufacturer"))
 
 
-_clean = r"trim(regexp_replace(trim(name), '\s+', ' ', 'g'), ' ,.;:|-')"
-
-
-@query(rf"""with {S.RAW}, n as (select distinct destination_node as name from raw union select distinct source_node from raw union select upper(destination_type) from raw union select 'Global' union select 'UL LLC' union select '.;'), c as (select name, {_clean} as clean from n)
-select name, length(clean) >= 2 and not {S.root("clean")} and not regexp_matches(clean, '(?i)^(iec|iso|en|ul|ansi|csa|ieee|astm)[\s-]*[0-9]') and {S.company("clean")} not in ('ul', 'ul solutions') and {S.company("clean")} not in ({S.quoted([*vocab.GENERIC_ORG_WORDS, *vocab.WEAK_COMPANY_WORDS])}) as plausible from c""")
+@query(f"""with {S.RAW}, n as (select distinct destination_node as name from raw union select distinct source_node from raw union select upper(destination_type) from raw union select 'Global' union select 'UL LLC' union select '.;' union select 'Safety' union select 'UN 38' union select 'Acme and'), c as (select name, {S.clean_company("name")} as clean from n)
+select name, {S.plausible("clean")} as plausible from c""")
 def ext_plausible_company(spark, d):
     r = core.raw(spark, d)
-    names = r.select("destination_node").union(r.select("source_node")).union(r.select(F.upper("destination_type"))).distinct().union(spark.sql("select * from values ('Global'), ('UL LLC'), ('.;')")).distinct()
+    names = r.select("destination_node").union(r.select("source_node")).union(r.select(F.upper("destination_type"))).distinct().union(spark.sql("select * from values ('Global'), ('UL LLC'), ('.;'), ('Safety'), ('UN 38'), ('Acme and')")).distinct()
     return names.select(F.col("destination_node").alias("name"), X.plausible_company(F.col("destination_node")).alias("plausible"))

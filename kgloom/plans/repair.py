@@ -25,8 +25,7 @@ def entities(spark, d):
 
 
 N_ = f"{S.RAW}, items as ({extraction.SQL_ITEMS}), ents as (select project_id, place as seq, name, {extraction._type('type')} as entity_type from items)"
-_clean = r"trim(regexp_replace(trim(name), '\s+', ' ', 'g'), ' ,.;:|-')"
-PLAUSIBLE = rf"(length({_clean}) >= 2 and not {S.root(_clean)} and not regexp_matches({_clean}, '(?i)^(iec|iso|en|ul|ansi|csa|ieee|astm)[\s-]*[0-9]') and {S.company(_clean)} not in ('ul', 'ul solutions') and {S.company(_clean)} not in ({S.quoted([*vocab.GENERIC_ORG_WORDS, *vocab.WEAK_COMPANY_WORDS])}))"
+PLAUSIBLE = S.plausible(S.clean_company("name"))
 
 
 @query(f"""with {N_}, x as (select project_id, entity_type, seq, trim(name) as name, {S.key("name")} as key from ents where trim(name) <> '' and entity_type <> 'entity' and (entity_type not in ('company', 'applicant') or {PLAUSIBLE})),

@@ -35,6 +35,23 @@ def company(x: str) -> str:
     return f"case when trim({x}) = '' then '' when {root(x)} then 'ul solutions' else {entity(out)} end"
 
 
+def clean_company(x: str) -> str:
+    clean = rf"trim(regexp_replace(regexp_replace(trim({x}), '{vocab.RIGHTS}', ''), '\s+', ' ', 'g'), ' ,.;:|-')"
+    return rf"trim(regexp_replace({clean}, '(?i)\s+and$', ''), ' ,.;:')"
+
+
+def plausible(clean: str) -> str:
+    """Of a clean name."""
+    weak = quoted([*vocab.GENERIC_ORG_WORDS, *vocab.WEAK_COMPANY_WORDS])
+    numbered = r"(?i)^(ul|iec|iso|csa|en|ieee|ansi|un|astm)\s*[0-9]"
+    none = "all this these the our its their documentation privacy terms support introduction contents copyright india united international institute standard safety"
+    return f"(length({clean}) >= 2 and not {root(clean)} and not regexp_matches({clean}, '{numbered}') and {company(clean)} not in ('ul', 'ul solutions') and {company(clean)} not in ({weak}) and not list_contains(string_split('{none}', ' '), lower({clean})))"
+
+
+def core(x: str) -> str:
+    return rf"regexp_replace(trim(regexp_replace({key(x)}, '\s+', ' ', 'g')), '(?:(?:^| )(?:{'|'.join(vocab.CORE_SUFFIXES)}))+$', '')"
+
+
 def standard(x: str) -> str:
     return entity(rf"regexp_replace(trim({x}), '(?i)\b([a-z]{{2,4}})[\s\-]*(\d)', '\1 \2', 'g')")
 
