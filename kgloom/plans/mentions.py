@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from kgloom.functions import vocab
+from kgloom.operators import firms as firms_
 from kgloom.operators import mentions as M
 from kgloom.operators.components import written
+from kgloom.plans import core
 from kgloom.plans import sqltext as S
 from kgloom.plans.core import query_into
 from kgloom.sources import adapters
@@ -116,3 +118,31 @@ def ext_demote_applicants(spark, d):
 select m.project_id, m.seq, source_node, relationship, destination_node from made m left join spoken s on s.project_id = m.project_id and s.core = m.core where s.core is null or s.manufacturer or regexp_matches(description, '{vocab.MANUFACTURER_CUES}')""")
 def ext_drop_manufacturers(spark, d):
     return M.without_unspoken_manufacturers(chunks(spark, d), links(spark, d)).select("project_id", "seq", "source_node", "relationship", "destination_node")
+
+
+#: Companies and applicants of the noisy triplets, some as plants and branches of others.
+ORGS = """select project_id, kind, seq, case seq % 7 when 0 then concat(name, ' Plant') when 1 then concat('East ', name, ' Plant') when 2 then concat(name, ' Systems') else name end as name from (
+  select project_id, lower(source_type) as kind, seq * 2 as seq, source_node as name from {raw} union all select project_id, lower(destination_type), seq * 2 + 1, destination_node from {raw}) where kind in ('company', 'applicant')"""
+_words = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+_generic = f"lambda w: w in ({S.quoted(vocab.GENERIC_ORG_WORDS)})"
+
+
+def _fuller(x: str) -> str:
+    return f"(({S.company(x)} <> '' and {S.entity(x)} <> {S.company(x)})::int, len(list_filter(string_split({S.company(x)}, ' '), {_generic})), length({x}))"
+
+
+def _same(s: str, t: str) -> str:
+    """One core is the other, or has only generic words behind it, of word lists."""
+    return f"({t}[1:len({s})] = {s} and len(list_filter({t}[len({s}) + 1:], {_generic})) = len({t}) - len({s}) and not (len({s}) < len({t}) and len({s}) = 1 and {s}[1] in ({S.quoted(vocab.WEAK_COMPANY_WORDS)})))"
+
+
+@query(f"""with recursive {S.RAW}, orgs as ({ORGS.replace("{raw}", "raw")}), x as materialized (select *, {_words(S.entity("name"))} as n, {_words(S.company("name"))} as c, {S.core("name")} <> {S.key("name")} as formal from (select project_id, kind, trim(name) as name, min(seq) as seq from orgs where trim(name) <> '' group by 1, 2, 3)),
+alike as materialized (select a.project_id, a.kind, a.name as a, b.name as b from x a join x b on a.project_id = b.project_id and a.kind = b.kind and len(a.n) <= len(b.n) and len(a.n) > 0 where a.n = b.n or (len(a.c) > 0 and len(b.c) > 0 and ({_same("a.c", "b.c")} or {_same("b.c", "a.c")})) or (len(a.n) >= 2 and len(a.n) < len(b.n) and b.n[len(b.n) - len(a.n) + 1:] = a.n)),
+two_ways as materialized (select * from alike union select project_id, kind, b, a from alike), reach as (select project_id, kind, a, b from two_ways union select r.project_id, r.kind, r.a, e.b from reach r join two_ways e on e.project_id = r.project_id and e.kind = r.kind and e.a = r.b),
+put as (select x.*, coalesce(f.firm, x.name) as firm from x left join (select project_id, kind, a, min(b) as firm from reach group by 1, 2, 3) f on f.project_id = x.project_id and f.kind = x.kind and f.a = x.name),
+pick as (select project_id, kind, firm, (list(name order by formal desc, length(name) desc, seq, name desc))[1] as p, (list(name order by length(name) desc, seq, name desc))[1] as q from put group by 1, 2, 3),
+weighed as (select *, {_words(S.company("p"))} as pc, {_words(S.company("q"))} as qc from pick),
+best as (select project_id, kind, firm, case when len(pc) > 0 and len(qc) > 0 and ({_same("pc", "qc")} or {_same("qc", "pc")}) then case when {_fuller("p")} >= {_fuller("q")} then p else q end when (len({_words(S.entity("p"))}), length(p)) >= (len({_words(S.entity("q"))}), length(q)) then p else q end as canonical from weighed)
+select project_id, kind, name, canonical from put join best using (project_id, kind, firm)""")
+def dedup_companies(spark, d):
+    return firms_.company_variants(spark.sql(ORGS, raw=core.raw(spark, d)))
