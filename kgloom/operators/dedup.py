@@ -103,7 +103,8 @@ def target_names(raw: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " "))
     parts = F.filter(F.transform(F.regexp_extract_all(clean, F.lit(r"((?:[^,(]|\([^()]*\)?)+)"), 1), lambda p: F.btrim(p, F.lit(EDGE))), lambda p: p != "")
     names = F.flatten(F.transform(parts, split_compound))
-    return F.transform(F.filter(F.transform(names, lambda x, i: F.struct(x.alias("x"), F.exists(F.slice(names, 1, i), lambda y: N.norm_key(y) == N.norm_key(x)).alias("seen"))), lambda s: ~s["seen"]), lambda s: s["x"])
+    firsts = lambda xs, keys: F.filter(xs, lambda x, i: F.array_position(keys, keys[i]) == i + 1)
+    return N.bind(lambda xs: N.bind(firsts, xs, F.transform(xs, N.norm_key)), names)
 
 
 # repair of triplets before they are judged

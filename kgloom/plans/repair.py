@@ -84,18 +84,18 @@ def dedup_rename(spark, d):
     return D.renamed(t, written(D.standards(standard_names(spark, d)))).groupBy("project_id", "source_node", "destination_node").agg(F.count("*").alias("n"))
 
 
-TARGETS = "select p_partkey as id, concat(p_name, ' (', p_type, ', ', p_brand, ', 2025), ', p_brand, case p_partkey % 4 when 0 then concat(' and ', p_type) when 1 then concat(', ', upper(p_brand)) when 2 then concat(' (x, ', p_type) else ' , ,' end) as raw from {part}"
+NAME_LISTS = "select p_partkey as id, concat(p_name, ' (', p_type, ', ', p_brand, ', 2025), ', p_brand, case p_partkey % 4 when 0 then concat(' and ', p_type) when 1 then concat(', ', upper(p_brand)) when 2 then concat(' (x, ', p_type) else ' , ,' end) as raw from {part}"
 _edge = "' \"' || chr(39)"
 _split = lambda p: f"list_filter(list_transform(regexp_split_to_array(x, '{p}'), lambda y: trim(y, {_edge})), lambda y: y <> '')"
 _good = lambda e: f"(len({e}) > 1 and len(list_filter({e}, lambda y: length(y) < 2)) = 0)"
 _and, _slash, _plus = _split(r"(?i)\s+and\s+"), _split(r"\s*/\s*"), _split(r"\s+\+\s+")
 
 
-@query(rf"""with t as (select id, trim(regexp_replace(raw, '\s+', ' ', 'g')) as raw from ({TARGETS.replace("{part}", "part")})), p as (select id, list_filter(list_transform(regexp_extract_all(raw, '((?:[^,(]|\([^()]*\)?)+)'), lambda y: trim(y, {_edge})), lambda y: y <> '') as ps from t),
+@query(rf"""with t as (select id, trim(regexp_replace(raw, '\s+', ' ', 'g')) as raw from ({NAME_LISTS.replace("{part}", "part")})), p as (select id, list_filter(list_transform(regexp_extract_all(raw, '((?:[^,(]|\([^()]*\)?)+)'), lambda y: trim(y, {_edge})), lambda y: y <> '') as ps from t),
 e as (select id, i, ps[i] as x from (select id, ps, unnest(range(1, len(ps) + 1)) as i from p)), f as (select id, i, case when {_good(_and)} then {_and} when {_good(_slash)} then {_slash} when {_good(_plus)} then {_plus} else [x] end as xs from e),
 g as (select id, i, j, xs[j] as x from (select id, i, xs, unnest(range(1, len(xs) + 1)) as j from f)), h as (select *, row_number() over (partition by id, {S.key("x")} order by i, j) as k from g) select id, string_agg(x, ';' order by i, j) as names from h where k = 1 group by id""")
 def prod_parse_targets(spark, d):
-    return adapters.fixture(spark, d, TARGETS).select("id", F.array_join(D.target_names(F.col("raw")), ";").alias("names"))
+    return adapters.fixture(spark, d, NAME_LISTS).select("id", F.array_join(D.target_names(F.col("raw")), ";").alias("names"))
 
 
 @query(f"with {S.RAW}, x as (select seq, {S.relation('relationship')} as relationship, source_node, destination_node from raw) select *, count(*) as n from x group by all")

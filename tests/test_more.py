@@ -63,6 +63,18 @@ def test_standards_and_targets(spark):
     assert [r[0] for r in x.select(dedup.target_names(F.col("raw"))).collect()] == [["Air (13-inch, M4)", "Pro", "Mini"], [], ["A (x, y"]]
 
 
+def test_queries_of_targets_read_their_own_fixtures(spark, tmp_path):
+    from kgloom.plans import repair
+
+    part = [(k, "Box", "B1", "Steel", 5) for k in range(4)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {x.id: x.names for x in repair.prod_parse_targets(spark, str(tmp_path)).collect()}
+    box = "Box (Steel, B1, 2025);B1"
+    assert got == {0: f"{box};Steel", 1: box, 2: "Box (Steel, B1, 2025);B1 (x, Steel", 3: box}
+    targets = {x.target: x.product for x in repair.prod_resolve_target(spark, str(tmp_path)).collect() if x.project_id == "run_0"}
+    assert targets["b1"] == targets["Box"]
+
+
 def test_repair(spark):
     t = triplets(
         spark,
