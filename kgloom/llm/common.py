@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,13 +30,21 @@ def fold_of(doc_id: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, as workers outlive their tasks."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps the holes in its heap otherwise
+    if trim:
+        trim(0)
+
+
 def batches(parts: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Record batches of ``doc_id, text`` cut to about ``most_bytes`` of text, and the texts as UTF-8 (null: None).
 
     What earlier tasks of the worker have freed goes back to the system first.
     """
-    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
-        pool.release_unused()
+    give_back()
     for part in parts:
         texts = part.column("text").cast(pa.binary())
         start, held = 0, 0

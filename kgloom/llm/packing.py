@@ -7,7 +7,6 @@ encoded whole, their words looked up in batches.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -37,12 +36,10 @@ class WordCoder:
         import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.bare, self.most = Tokenizer.from_str(spec), Tokenizer.from_str(spec), most
-        known = json.loads(spec)
-        tail, lower = (known.get("model") or {}).get("end_of_word_suffix"), "lowercase" in json.dumps(known.get("normalizer") or {}).lower()
-        if tail != "</w>" or not lower:  # what looking words up by their letters rests on
+        self.whole, self.most = Tokenizer.from_str(spec), most
+        if getattr(self.whole.model, "end_of_word_suffix", None) != "</w>" or "lowercase" not in str(self.whole.normalizer).lower():  # what looking words up by their letters rests on
             raise ValueError("the tokenizer must lower-case its text and end words with </w>")
-        self.bare.normalizer = None
+        self.bare = Tokenizer(self.whole.model)  # the same merge table, not a second one
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.bare.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -75,7 +72,8 @@ class WordCoder:
             low = c.lower()
             cut.append((low, w[len(c) :]) if low.isalpha() and "Σ" not in c and (low.isascii() or normalize("NFC", c) == c) else None)
         self._learn(list({x[0] for x in cut if x and x[0] not in self.cores}))
-        plain = lambda ws: [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(ws, add_special_tokens=False)]
+        # in lots, as what the tokenizer returns of a word is far larger than its ids
+        plain = lambda ws: [np.array(e.ids, "<u4").tobytes() for i in range(0, len(ws), 1024) for e in self.whole.encode_batch_fast(ws[i : i + 1024], add_special_tokens=False)]
         odd = [w for w, x in zip(words, cut, strict=True) if x is None]
         rest = iter(plain(odd)) if odd else iter(())
         marks = sorted({x[1] for x in cut if x} - self.marks.keys())

@@ -59,6 +59,46 @@ print(len(made), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
     assert patterns > 80_000 and mb < 600
 
 
+def measured(code):
+    """Numbers that ``code`` prints, run in a process of its own; ``held()``: MB that the process holds now, ``most()``: at most so far."""
+    helpers = """
+import re, resource
+held = lambda: sum(map(int, re.findall(r"\\nAnonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) >> 10
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+"""
+    return [int(x) for x in subprocess.run([sys.executable, "-c", helpers + code], capture_output=True, text=True, check=True).stdout.split()]
+
+
+def test_workers_give_back_what_tasks_have_freed():
+    """Holes that a task leaves in the heap are not held while the next one works."""
+    before, after = measured("""
+import pyarrow as pa
+from kgloom.llm.common import batches
+made = [bytes(4000) for _ in range(30_000)]
+made = made[-1]  # lies on top of the heap
+before = held()
+texts = next(batches(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a"]})])))
+print(before, held())
+""")
+    assert before - after > 60
+
+
+def test_memory_of_words_that_take_the_whole_tokenizer():
+    """60,000 of them in one batch, with the tokenizer itself."""
+    start, end = measured("""
+import random
+import numpy, public_tokenizers, tokenizers
+from kgloom.llm.packing import WordCoder
+r = random.Random(1)
+words = ["".join(r.choice("abcdefgh1234-_:") for _ in range(12)) for _ in range(60_000)]
+spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+start = most()
+WordCoder(spec, 1 << 17)(words)
+print(start, most())
+""")
+    assert end - start < 95
+
+
 def test_rows_without_ids_are_dealt_evenly(spark):
     n = 40_000
     pieces = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
