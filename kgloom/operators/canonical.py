@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import names as N
 from kgloom.functions import vocab
-from kgloom.operators.named import with_ends
+from kgloom.operators.components import written
+from kgloom.operators.named import sharing, small, with_ends
 
 
 def ends(t: DataFrame) -> DataFrame:
@@ -63,12 +64,12 @@ def drop_disallowed(e: DataFrame) -> DataFrame:
 def link_suppliers(e: DataFrame) -> DataFrame:
     """New edges: the manufacturer of a component supplies the company whose product contains it."""
     of = lambda rel, a, b: e.where(F.col("relationship") == rel).select(F.col("source_id").alias(a), F.col("destination_id").alias(b)).distinct()
-    has = of("CONTAINS", "parent", "component")
-    owner = of("HAS_PRODUCT", "owner", "product")
-    by_model = owner.join(of("HAS_MODEL", "product", "parent"), "product").select("owner", "parent")
-    held = owner.select("owner", F.col("product").alias("parent")).union(by_model).distinct().join(has, "parent").select("owner", "component").distinct()
-    new = of("PARTY_ROLE_MANUFACTURER", "component", "maker").join(held, "component").where("maker <> owner").select(F.col("maker").alias("source_id"), F.col("owner").alias("destination_id")).distinct()
-    known = e.where("relationship = 'PARTY_ROLE_SUPPLIER'").select("source_id", "destination_id").distinct()
+    has = of("CONTAINS", "key", "component")
+    owner = written(of("HAS_PRODUCT", "b", "key"))
+    within = has.union(of("HAS_MODEL", "key", "model").join(of("CONTAINS", "model", "component"), "model").select("key", "component")).join(owner.select("key").distinct(), "key", "left_semi").distinct()
+    makes = of("PARTY_ROLE_MANUFACTURER", "component", "a").join(within, "component").select("a", "key").distinct()
+    new = sharing(makes, owner).where("a <> b").select(F.col("a").alias("source_id"), F.col("b").alias("destination_id"))
+    known = small(written(e.where("relationship = 'PARTY_ROLE_SUPPLIER'").select("source_id", "destination_id").distinct()))
     return new.join(known, ["source_id", "destination_id"], "left_anti")
 
 

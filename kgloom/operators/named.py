@@ -48,3 +48,23 @@ def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
     rarest = grams.join(often, "start", "left").groupBy("text").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("start", F.struct("n", "start")).alias("start"))
     chosen = small(written(rarest.where("missing = 0").select("text", "start")))
     return names.withColumn("start", F.explode(every)).join(chosen, "start").where(F.contains("low", "text")).drop("start")
+
+
+def sharing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct ``a, b`` of rows (a, key) and (b, key) that have a key in common.
+
+    Ends of the same keys are one class; classes meet by keys and are made distinct, and then stand for their members, so a pair is
+    made once and not for each key that it shares. Pairs are neither shuffled nor counted.
+    """
+
+    def classes(x: DataFrame, end: str, name: str) -> tuple[DataFrame, DataFrame]:
+        x = written(x.select(end, "key").where(F.col(end).isNotNull() & F.col("key").isNotNull()).distinct())
+        members = written(x.groupBy(end).agg(F.sha2(F.to_json(F.array_sort(F.collect_list("key"))), 256).alias(name)))
+        # one member's keys are those of its class
+        one = members.groupBy(name).agg(F.min(end).alias(end))
+        return members, x.join(one, end).select(name, "key")
+
+    (a, a_keys), (b, b_keys) = classes(left, "a", "a_class"), classes(right, "b", "b_class")
+    met = written(a_keys.join(b_keys, "key").select("a_class", "b_class").distinct())
+    dealt = written(met.join(b, "b_class").select("a_class", "b")).repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "a_class")
+    return dealt.join(small(a), "a_class").select("a", "b")
